@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import mixing, packing, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": mixing.op1_mix,
+        "op3_simhash": simhash.op3_simhash,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_pack": packing.op7_pack,
     }
 
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, simhash
+from . import mixing, packing, pii, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": mixing.op1_mix,
         "op3_simhash": simhash.op3_simhash,
+        "op5_personal_data": pii.op5_personal_data,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_pack": packing.op7_pack,
     }

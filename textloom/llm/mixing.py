@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit
     Weights repeat along the sources in code point order, null last. A target
     stops at ``limit`` times the source's size and the excess is shared out
     again by weight. That is a water level: with sources in order of the level
-    at which they stop, the level is what is left for the others by weight.
+    at which they stop, it is the highest level that what is left allows the others.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy()
@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit
     rest = by_stop.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     before = by_stop.rowsBetween(Window.unboundedPreceding, -1)
     level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    found = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
+    found = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
     return (
         ranked.withColumn("level", level)
         .withColumn("water", found)
@@ -160,7 +160,7 @@ levels AS (
   FROM ranked),
 targets AS (
   SELECT source, source_size,
-         coalesce(least(cap, min(CASE WHEN level * weight <= cap THEN level END) OVER () * weight), cap) AS target
+         coalesce(least(cap, max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight), cap) AS target
   FROM levels),
 placed AS (
   SELECT s.*, t.source_size, t.target,

@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import python_on
+
 START, END = "<|im_start|>", "<|im_end|>"
 FOOTER = np.frombuffer(f"{END}\n".encode(), dtype=np.uint8)
 #: What follows the first character of a control string.
@@ -129,7 +131,7 @@ def format_conversations(df: DataFrame) -> DataFrame:
     texts of assistant turns. An empty table gives an empty table.
     """
     kind = df.schema["conv_id"].dataType.simpleString()
-    turns = df.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    turns = python_on(df).select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -170,7 +172,7 @@ def digest(formatted: DataFrame) -> DataFrame:
                 names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
             )
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(
+    return python_on(formatted).select("conv_id", "formatted", "loss").mapInArrow(
         run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, text_bytes
+from .common import id_text, python_on, text_bytes
 
 #: Text bytes that a block and a shard should hold.
 BLOCK_BYTES = 6 << 20
@@ -252,7 +252,7 @@ def score_texts(
         raise ValueError("order must be 2 or more, with a mass for each length of history")
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("t"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    docs = python_on(df).select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("t"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     blocks = max(1, -(-text_bytes(docs, "t") // block_bytes))
     shards = blocks
     docs = docs.select("doc_id", F.col("t").cast("binary").alias("t"), "held_out", F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).alias("block"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, power_of_two
+from .common import cut, power_of_two, python_on
 
 CAPACITY = 1024
 END_ID = 2
@@ -124,7 +124,7 @@ def tokenized_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, e
                 names=schema.names,
             )
 
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(cut_up, schema)
+    return python_on(df).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(cut_up, schema)
 
 
 def best_fit_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -201,7 +201,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
             columns = batch.columns[:5] + [pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return ranked.mapInArrow(look_up, ranked.schema)
+    return python_on(ranked).mapInArrow(look_up, ranked.schema)
 
 
 def pack_documents(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, ngram_lm, packing, pii, quality_rules, simhash, vector_search
+from . import chat, line_crf, line_dedup, mixing, ngram_lm, packing, pii, quality_rules, simhash, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_personal_data": pii.op5_personal_data,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_pack": packing.op7_pack,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_quality": line_crf.op9_quality,
         "op10_nearest": vector_search.op10_nearest,
     }
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, python_on
 
 SEED = 42
 SHINGLE = 3
@@ -75,7 +75,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             fps = np.array(out, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(run, schema)
+    return python_on(df).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def _signed(x: int) -> int:
@@ -186,7 +186,7 @@ def near_links(nodes: DataFrame, n_nodes: int) -> DataFrame:
         a, b = cell_links(fps, bits, key[0].as_py() & (1 << 64) - 1)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return sent.groupBy("cell").applyInArrow(run, "a long, b long")
+    return python_on(sent).groupBy("cell").applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import python_on
+
 QUERY_ROWS = 512
 STRIP_ROWS = 32768
 TILE_ROWS = 4096
@@ -87,7 +89,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     candidate; nor are others that share its id. Repeated rows count each for
     itself. A query without candidates gives no row. Other columns are not read.
     """
-    vectors = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    vectors = python_on(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     vectors = vectors.where(usable(F.col("v")) & F.col("id").isNotNull())
     sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("nq"))
     top = sizes.orderBy(F.desc("n"), "d").limit(1).collect()

@@ -9,16 +9,16 @@ WORD = r"(?U)\b\w\w+\b"
 MIN_DF, MAX_DF, MAX_FEATURES = 2, 0.9, 200_000
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased words of two characters or more, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+def terms(words: Column) -> Column:
+    """Words, and pairs of neighbours."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(terms(F.col(text_col))).alias("term"))
+    """(doc_id, term, tf) of lower-cased words of two characters or more, and pairs of them."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(WORD), F.lit(0))
+    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("ws")).select("doc_id", F.explode(terms(F.col("ws"))).alias("term"))
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -40,8 +40,8 @@ def fit(counts: DataFrame, n_docs: int, min_df: int = MIN_DF, max_df: float = MA
 def weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, term_id, weight): tf idf with rows of length one. Unknown terms drop out."""
     raw = counts.join(vocabulary, "term").select("doc_id", "term_id", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term_id", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "term_id", (F.col("w") / norm).alias("weight"))
 
 
 def sparse_rows(weighted: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import search, tfidf
+from ..session import cut
 
 
 def sparse_model(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, document weights) of docs (doc_id, text)."""
+    """(vocabulary, document weights) of docs (doc_id, text). The vocabulary, which is bounded, is written once and read by all that follows."""
     counts = tfidf.term_counts(docs)
-    vocabulary = tfidf.fit(counts, docs.count())
+    vocabulary = cut(tfidf.fit(counts, docs.count()))
     return vocabulary, tfidf.weights(counts, vocabulary)
 
 

@@ -73,7 +73,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         out["email"] = _emails(text)
     if not _DIGIT.search(text):
         return out
-    out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGITS.sub("", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):

@@ -18,6 +18,7 @@ from ..operators import chunking, search, sessions, tfidf
 from ..session import ship
 from ..sources import readers, writers
 from ..streaming import answers as streams
+from .ingest import ingest, upload
 from .pages import BLOCKS_SQL, page_blocks
 from .retrieval import answers, hybrid, query_weights, sparse_model
 
@@ -625,6 +626,24 @@ def _(s, d):
     return out.select("id", F.size("dense").alias("dim"), sha(c("payload.text")).alias("h"), text.section_display(c("payload.section_path")).alias("path"))
 
 
+@query("a5_upload")
+def _(s, d):
+    path = scratch(s)
+    _t(s, d, "benchmark").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).repartition(3).write.text(path)
+    names = sorted(r["p"] for r in s.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(c("path").alias("p")).collect())
+    return upload(s, names)[0].select("file_ordinal", "chunk_no", F.length("text").alias("n_chars"), F.size("vector").alias("dim"))
+
+
+@query(
+    "a9_ingest",
+    f"""WITH RECURSIVE {ALL_CHUNKS} SELECT id, sha256(text) AS h, 64 AS dim, 1.0::DOUBLE AS norm FROM chunks""",
+)
+def _(s, d):
+    out = ingest(page_blocks(_t(s, d, "pages")), scratch(s))
+    square = lambda v: F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6)
+    return out.select("id", sha(c("payload.text")).alias("h"), F.size("dense").alias("dim"), square(F.coalesce("sparse.values", F.array(F.lit(1.0)))).alias("norm"))
+
+
 # Sessions and streams
 
 EVENTS_SQL = r"""tk AS (SELECT conv_id || '-' || turn AS query_id, string_split(text, ' ') AS ws FROM conversations WHERE role = 'assistant'),

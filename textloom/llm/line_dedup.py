@@ -36,8 +36,8 @@ DIVISOR = 2
 WINDOW = 1
 SOLO_WORDS = 50
 LEAST_WORDS = 16
-#: Lines next to a chunk that are compared too. Longer passages hold further chunks.
-BESIDE = 4
+#: Lines before and after a chunk that are compared too. With two residues no more of a passage lies outside its chunks.
+BEFORE, AFTER = 2, 1
 _ODD = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
@@ -175,7 +175,7 @@ def dedup_lines(
             lines, spans, _ = _chunks(part.column(text_col)[i].as_py().encode(), options)
             for h, k in asked.pop(r):
                 a, b = spans[k]
-                values = (h, r, k, b"\n".join(lines[a:b]), lines[max(0, a - BESIDE) : a], lines[b : b + BESIDE])
+                values = (h, r, k, b"\n".join(lines[a:b]), lines[max(0, a - BEFORE) : a], lines[b : b + AFTER])
                 for name, value in zip(out, values):
                     out[name].append(value)
         several = pa.list_(pa.binary())
@@ -184,7 +184,9 @@ def dedup_lines(
     grouped = docs.groupBy(bucket)
     wanted = repeated.withColumn("at", of_row(F.col("first_row"))).groupBy("at")
     firsts = grouped.cogroup(wanted).applyInArrow(read_firsts, "h long, first_row long, first_number int, body binary, before array<binary>, after array<binary>")
-    sent = by_bucket.select(F.col("h").alias("bh"), F.col("bucket").alias("to")).join(firsts, F.col("bh") == F.col("h")).drop("bh")
+    here = by_bucket.select(F.col("h").alias("bh"), F.col("bucket").alias("to"), F.col("n").alias("bn"), F.col("first.row").alias("br"), F.col("first.number").alias("bk"))
+    repeats = (F.col("bh") == F.col("h")) & ~((F.col("bn") == 1) & (F.col("br") == F.col("first_row")) & (F.col("bk") == F.col("first_number")))
+    sent = here.join(firsts, repeats).drop("bh", "bn", "br", "bk")  # not to a bucket that has the first occurrence alone
 
     schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     names = df.columns

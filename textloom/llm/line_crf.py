@@ -78,10 +78,6 @@ def chain_features(lines: list[bytes]) -> np.ndarray:
     return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), np.ones((len(own), 1))])
 
 
-def _log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
-
-
 def marginals(unary: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of each line, and expected transitions (chains, 2, 2).
 
@@ -94,14 +90,14 @@ def marginals(unary: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple
     a[:, 0, 1] = unary[:, 0]
     for t in range(1, n):
         for y in (0, 1):
-            a[:, t, y] = _log_add(a[:, t - 1, 0] + move[0, y], a[:, t - 1, 1] + move[1, y]) + (unary[:, t] if y else 0.0)
+            a[:, t, y] = np.logaddexp(a[:, t - 1, 0] + move[0, y], a[:, t - 1, 1] + move[1, y]) + (unary[:, t] if y else 0.0)
     for t in range(n - 2, -1, -1):
         inside = at[:, t + 1]
         for y in (0, 1):
-            on = _log_add(move[y, 0] + b[:, t + 1, 0], move[y, 1] + unary[:, t + 1] + b[:, t + 1, 1])
+            on = np.logaddexp(move[y, 0] + b[:, t + 1, 0], move[y, 1] + unary[:, t + 1] + b[:, t + 1, 1])
             b[:, t, y] = np.where(inside, on, 0.0)
     both = a + b
-    total = _log_add(both[:, 0, 0], both[:, 0, 1])
+    total = np.logaddexp(both[:, 0, 0], both[:, 0, 1])
     good = 1 / (1 + np.exp(np.clip(both[:, :, 0] - both[:, :, 1], -700, 700)))
     pairs = np.zeros((d, 2, 2))
     if n > 1:
@@ -243,7 +239,7 @@ def score_quality(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [(t or "").encode() for t in part.column(place).to_pylist()]
-                scores = np.array([s for k in range(0, len(texts), 256) for s in model.document_scores(texts[k : k + 256])])
+                scores = model.document_scores(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, unused, word_count, words
+from .common import cut, unused, words
 
 #: Rows of the sample from which rules are ordered.
 SAMPLE_ROWS = 2000
@@ -52,19 +52,14 @@ def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Words under three-word windows that are found twice or more; windows: array of their hashes."""
-    n = F.size(windows)
+def _repeated_windows(windows: Column) -> Column:
+    """Sorted places of the windows that are found twice or more; windows: array of their hashes."""
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def positions(s: Column) -> Column:
-        same_as_next = F.zip_with(s, F.slice(s, 2, F.greatest(n, F.lit(1))), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
-        return same_as_next
-
-    same = positions(placed)
-    twice = F.zip_with(same, F.concat(F.array(F.lit(False)), same), lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)))
-    found = F.array_sort(F.filter(F.zip_with(placed, twice, lambda a, d: F.when(d, a["i"])), lambda i: i.isNotNull()))
-    return found
+    rest = F.slice(placed, 2, F.greatest(F.size(windows), F.lit(1)))
+    as_next = F.zip_with(placed, rest, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
+    as_last = F.concat(F.array(F.lit(False)), as_next)
+    twice = F.zip_with(as_next, as_last, lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)))
+    return F.array_sort(F.filter(F.zip_with(placed, twice, lambda a, d: F.when(d, a["i"])), lambda i: i.isNotNull()))
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -99,7 +94,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn(windows, triples)
     w = F.col(windows)
     out = out.withColumn(
-        repeated, F.when(F.size(F.array_distinct(w)) < F.size(w), _repeat_words(w)).otherwise(F.array().cast("array<int>"))
+        repeated, F.when(F.size(F.array_distinct(w)) < F.size(w), _repeated_windows(w)).otherwise(F.array().cast("array<int>"))
     )
     r = F.col(repeated)
     gaps = F.zip_with(r, F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))

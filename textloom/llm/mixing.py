@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import id_text, power_of_two, unused, word_count
 
 #: Rows that a cell should hold at most, if hashes spread evenly.
-ROWS_PER_CELL = 100_000
+ROWS_PER_CELL = 4096
 #: Hash values lie below 2 ** HASH_BITS (15 hexadecimal digits).
 HASH_BITS = 60
 
@@ -91,7 +91,7 @@ def mix_sources(
     kept = [c for c in df.columns if c.lower() not in made]
     size, source, key, part, length, lead = unused(df, "size", "source", "key", "part", "length", "lead")
     rows = df.count()
-    slices = power_of_two(min(4096, max(1, rows / ROWS_PER_CELL / 16)))
+    slices = power_of_two(min(4096, max(1, rows / ROWS_PER_CELL)))
     shift = HASH_BITS - (slices.bit_length() - 1)
     sized = df.select(
         *[F.col(f"`{c}`") for c in df.columns if c in kept or c in (source_col, id_col)],

@@ -57,3 +57,10 @@ def test_pipeline(spark, tmp_path):
 def test_long_solo_lines_are_chunks():
     lines = [b"a b", b"w " * 60, b"c d"]
     assert (1, 2) in line_dedup.cut_lines(lines)
+
+
+def test_passages_of_two_lines_hold_a_chunk():
+    passage = [b"p " * 26, b"q " * 26]
+    for k in range(8):
+        lines = [b"before %d" % k, *passage, b"after %d" % k]
+        assert {(1, 2), (2, 3)} <= set(line_dedup.cut_lines(lines))

@@ -4,8 +4,9 @@ A rolling hash over the hashes of the last ``window`` lines decides where
 chunks end, so the same lines are cut alike wherever they stand. Each residue of
 the hash gives one cut of the text: with two residues, of any three lines in a
 row two end a chunk in the same cut, so every repeated passage of three lines
-or more holds a whole chunk. A line that is a passage by itself (``solo_words``
-words or more) is always a chunk of its own.
+or more holds a whole chunk. A line of half of ``solo_words`` words is always a
+chunk of its own: of two lines that are a passage together, one is such a line.
+A line of ``solo_words`` words is a passage by itself.
 
 Chunks are counted over the whole table by hash. Of a chunk that is found twice
 or more, the first occurrence (smallest id, then place) stays; every other is
@@ -47,12 +48,12 @@ def cut_lines(lines: list[bytes], divisor: int = DIVISOR, window: int = WINDOW,
     ends: list[list[int]] = [[0] for _ in range(divisor)]
     drop = pow(_ODD, window, 1 << 64)
     hashes = [xxhash.xxh64_intdigest(line) for line in lines]
-    rolled = 0
+    rolled, half = 0, (solo + 1) // 2
     for i, line in enumerate(lines):
         rolled = (rolled * _ODD + hashes[i]) & _ALL
         if i >= window:
             rolled = (rolled - hashes[i - window] * drop) & _ALL
-        if len(line) >= 2 * solo - 1 and len(line.split()) >= solo:
+        if len(line) >= 2 * half - 1 and len(line.split()) >= half:
             for e in ends:
                 e += [i, i + 1]
         else:

@@ -468,3 +468,14 @@ def test_tiles_prune_without_loss():
     places, ids, scores = vector_search.search_strip(np.arange(-20, 0), q, np.arange(500), v, 5, tile_rows=64)
     want = {(i, int(j)) for i in range(20) for j in np.argsort(-(q[i] @ v.T))[:5]}
     assert set(zip(places, ids)) == want
+
+
+def test_nearest_over_blocks_strips_and_tiles(spark, monkeypatch):
+    for name, value in (("QUERY_ROWS", 7), ("STRIP_ROWS", 60), ("TILE_QUERIES", 3)):
+        monkeypatch.setattr(vector_search, name, value)
+    v = np.random.default_rng(14).normal(size=(400, 8)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.rank): r.vec_id for r in vector_search.nearest(vectors, F.col("vec_id") % 20 == 0, 5).collect()}
+    scores = v.astype(float) @ v.astype(float).T
+    np.fill_diagonal(scores, -np.inf)
+    assert got == {(q, k + 1): int(j) for q in range(0, 400, 20) for k, j in enumerate(np.argsort(-scores[q])[:5])}

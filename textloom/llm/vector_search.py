@@ -9,8 +9,8 @@ others are computed again from the original numbers, in double precision, and
 go through a heap of k.
 
 Queries and candidates are cut into blocks by hash. A task joins one block of
-queries with one strip of candidates, works the strip off block by block with
-one heap a query, and returns k rows a query; a last window merges the strips.
+queries with one strip of candidates, works them off tile by tile with one heap
+a query, and returns k rows a query; a last window merges the strips.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import python_on
 
-QUERY_ROWS = 512
-STRIP_ROWS = 32768
+#: Queries of a block and candidates of a strip, fewer if vectors are long, and the numbers that each holds at most.
+#: Candidates are sent once to each block and queries once to each strip, so both are large.
+QUERY_ROWS, QUERY_NUMBERS = 8192, 1 << 20
+STRIP_ROWS, STRIP_NUMBERS = 32768, 1 << 22
+#: Rows of a tile's two sides.
+TILE_QUERIES = 512
 TILE_ROWS = 4096
 
 
@@ -95,7 +99,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     top = sizes.orderBy(F.desc("n"), "d").limit(1).collect()
     d, n, nq = (top[0]["d"], top[0]["n"], top[0]["nq"]) if top else (0, 0, 0)
     vectors = vectors.where(F.size("v") == d)
-    strips, blocks = max(1, -(-n // STRIP_ROWS)), max(1, -(-nq // QUERY_ROWS))
+    query_rows, strip_rows = (max(1, min(most, numbers // max(1, d))) for most, numbers in ((QUERY_ROWS, QUERY_NUMBERS), (STRIP_ROWS, STRIP_NUMBERS)))
+    strips, blocks = max(1, -(-n // strip_rows)), max(1, -(-nq // query_rows))
     hashed = F.xxhash64("id")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     asked = vectors.where("q").select("id", "v", F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"), each(strips).alias("strip"))
@@ -108,18 +113,22 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
         ids, found, scores = [], [], []
         if left.num_rows and right.num_rows:
             query_ids = left.column("id").to_numpy()
-            places, found, scores = search_strip(query_ids, matrix(left, "v"), right.column("c_id").to_numpy(), matrix(right, "c_v"), k)
-            ids = query_ids[np.array(places, dtype=np.int64)]
+            queries, c_ids, c = matrix(left, "v"), right.column("c_id").to_numpy(), matrix(right, "c_v")
+            for at in range(0, len(query_ids), TILE_QUERIES):
+                asking = query_ids[at : at + TILE_QUERIES]
+                places, got, score = search_strip(asking, queries[at : at + TILE_QUERIES], c_ids, c, k)
+                ids += asking[np.array(places, dtype=np.int64)].tolist()
+                found += got
+                scores += score
         return pa.table(
             {
-                "row": pa.array(places if len(ids) else [], pa.int64()),
                 "query_id": pa.array(ids, pa.int64()),
                 "vec_id": pa.array(found, pa.int64()),
                 "score": pa.array(scores, pa.float64()),
             }
         )
 
-    tiles = asked.groupBy("block", "strip").cogroup(given.groupBy("block", "strip")).applyInArrow(run, "row long, query_id long, vec_id long, score double")
+    tiles = asked.groupBy("block", "strip").cogroup(given.groupBy("block", "strip")).applyInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return tiles.select("query_id", "vec_id", "score", rank.alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -301,6 +301,12 @@ def test_measures_equal_their_definitions(spark):
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0
 
 
+def test_words_with_a_letter(spark):
+    texts = ["a1 12 é- 漢 -- \t\n b", "", None, "7" * 300000, "1a2 " * 1000]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(quality_rules.letter_words(F.col("text")).alias("n")).collect()
+    assert [r.n for r in got] == [sum(any(c.isalpha() for c in w) for w in (t or "").split()) for t in texts]
+
+
 def test_rule_order_is_rejection_per_cost(spark):
     rows = frame(spark, [(i, "w " * i, "s") for i in range(80)])
     measured = quality_rules.measure(rows)

@@ -59,14 +59,23 @@ def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def _repeated_windows(windows: Column) -> Column:
-    """Sorted places of the windows that are found twice or more; windows: array of their hashes."""
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rest = F.slice(placed, 2, F.greatest(F.size(windows), F.lit(1)))
-    as_next = F.zip_with(placed, rest, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
-    as_last = F.concat(F.array(F.lit(False)), as_next)
-    twice = F.zip_with(as_next, as_last, lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)))
-    return F.array_sort(F.filter(F.zip_with(placed, twice, lambda a, d: F.when(d, a["i"])), lambda i: i.isNotNull()))
+def _windows(ws: Column) -> Column:
+    """Hashes of the three-word windows; ws: a column of words, not an expression, as each window reads it."""
+    three = F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+    return F.slice(three, 1, F.greatest(F.size(ws) - 2, F.lit(0)))
+
+
+def _sorted_windows(windows: Column) -> Column:
+    """(hash, place) of all windows in order of hash, if any is found twice; else nothing."""
+    placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(placed)).otherwise(none)
+
+
+def _repeated(placed: Column) -> Column:
+    """Sorted places of the windows that are found twice or more; placed: a column of _sorted_windows."""
+    twice = lambda x, i: (x["h"] == F.get(placed, i + 1)["h"]) | (x["h"] == F.get(placed, i - 1)["h"])
+    return F.sort_array(F.filter(F.transform(placed, lambda x, i: F.when(twice(x, i), x["i"])), lambda i: i.isNotNull()))
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -78,8 +87,8 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in made]
-    names = unused(df, "text", "words", "lines", "hashes", "windows", "repeated")
-    text, ws, lines, hashes, windows, repeated = names
+    names = unused(df, "text", "words", "lines", "windows", "placed", "repeated")
+    text, ws, lines, windows, placed, repeated = names
     t = F.col(text)
     out = df.select(*kept, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
     out = out.withColumn(ws, words(t)).withColumn(
@@ -91,17 +100,9 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_symbols", (F.length(t) - F.length(_without(t, "#*$%&|<>"))).cast("long"))
         .withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
-        .withColumn(hashes, F.transform(ws, lambda w: F.xxhash64(w)))
-    )
-    h = F.col(hashes)
-    many = F.greatest(F.size(h), F.lit(1))
-    pairs = F.zip_with(h, F.slice(h, 2, many), lambda a, b: F.xxhash64(a, b))
-    triples = F.slice(F.zip_with(pairs, F.slice(h, 3, many), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(h) - 2, F.lit(0)))
-    out = out.withColumn(windows, triples)
-    w = F.col(windows)
-    out = out.withColumn(
-        repeated, F.when(F.size(F.array_distinct(w)) < F.size(w), _repeated_windows(w)).otherwise(F.array().cast("array<int>"))
+        .withColumn(windows, _windows(F.col(ws)))
     )
+    out = out.withColumn(placed, _sorted_windows(F.col(windows))).withColumn(repeated, _repeated(F.col(placed)))
     r = F.col(repeated)
     gaps = F.zip_with(r, F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     out = out.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda a, b: a + b).cast("long"))

@@ -409,6 +409,39 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12])
+def test_line_dedup_joins_short_lines(spark, n):
+    rng = random.Random(20 + n)
+    line = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(k))
+    passages = [[line(n) for _ in range(-(-54 // n))] for _ in range(10)]
+    rows, own = [], {}
+    for i in range(50):  # earlier documents have the lines of passages singly or in pairs of less than 16 words
+        rows.append((i, "\n".join(x for p in passages for x in (line(20), p[i % len(p)])), "s"))
+    for i in range(100, 150):
+        own[i] = [line(5) for _ in range(4)]
+        rows.append((i, "\n".join(own[i][:2] + passages[i % 10] + own[i][2:]), "s"))
+    left = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(frame(spark, rows), bucket_bytes=9000).collect()}
+    for i in range(100, 110):
+        assert left[i] == own[i][:2] + passages[i % 10] + own[i][2:]
+    for i in range(110, 150):
+        assert left[i] == own[i]
+
+
+def test_line_dedup_keeps_the_first_of_overlapping_occurrences(spark):
+    got = line_dedup.dedup_lines(frame(spark, [(1, "\n".join(["same"] * 40), "s"), (2, "\n".join(["same"] * 15), "s")])).collect()
+    assert {r.doc_id: r.text.count("same") for r in got} == {1: 16, 2: 15}
+
+
+def test_stretches_equal_their_definition():
+    rng = random.Random(15)
+    for _ in range(500):
+        lines = [b"w " * rng.choice([0, 0, 1, 2, 5, 17, 30]) for _ in range(rng.randint(0, 25))]
+        full = [i for i, x in enumerate(lines) if x]
+        fits = {(a, b + 1) for a in full for b in full if a < b and sum(len(x.split()) for x in lines[a : b + 1]) >= 16}
+        least = {(a, b) for a, b in fits if not any((a, c) in fits for c in range(b))} | {(a, b) for a, b in fits if not any((c, b) in fits for c in range(a + 1, b))}
+        assert line_dedup.stretches([len(x.split()) for x in lines]) == least
+
+
 # 9
 
 

@@ -8,10 +8,18 @@ or more holds a whole chunk. A line of half of ``solo_words`` words is always a
 chunk of its own: of two lines that are a passage together, one is such a line.
 A line of ``solo_words`` words is a passage by itself.
 
+Chunks alone miss passages: those of short lines have chunks of too few words,
+and a chunk's first occurrence may stand in another document beside other lines.
+So stretches are chunks too: from each line with words the shortest run onwards
+of several such lines that has ``least_words`` words, and the same backwards.
+Each line of a passage of several lines and ``least_words`` words lies in a
+stretch that lies in the passage, so all of it is found, whatever its lines'
+lengths and wherever else they occur. Only lines without words may lie outside.
+
 Chunks are counted over the whole table by hash. Of a chunk that is found twice
 or more, the first occurrence (smallest id, then place) stays; every other is
-compared with it byte by byte, and the comparison goes on over the lines next
-to it in both directions. What agrees is removed if it has several lines, or is
+compared with it byte by byte, and the comparison goes on over lines without
+words next to it in both directions. What agrees is removed if it has several lines, or is
 a passage by itself, and ``least_words`` words; so a single common line stays.
 
 Texts are shuffled once, into buckets of bounded size; both passes over the
@@ -21,7 +29,8 @@ before they are shuffled, and one text for each repeated chunk and bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +46,7 @@ DIVISOR = 2
 WINDOW = 1
 SOLO_WORDS = 50
 LEAST_WORDS = 16
-#: Lines before and after a chunk that are compared too. With two residues no more of a passage lies outside its chunks.
+#: Lines without words before and after a chunk that are compared too, at most.
 BEFORE, AFTER = 2, 1
 _ODD = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
@@ -65,6 +74,34 @@ def cut_lines(lines: list[bytes], divisor: int = DIVISOR, window: int = WINDOW,
     return sorted(spans)
 
 
+def stretches(counts: list[int], least: int = LEAST_WORDS) -> set[tuple[int, int]]:
+    """The shortest runs of several lines with words that have least words, from each such line on and back from each.
+
+    counts: words of each line.
+    """
+    at, sums = [], [0]
+    for i, n in enumerate(counts):
+        if n:
+            at.append(i)
+            sums.append(sums[-1] + n)
+    spans = set()
+    k = 1
+    for s in range(len(at) - 1):
+        k = max(k, s + 1)
+        while k < len(at) and sums[k + 1] - sums[s] < least:
+            k += 1
+        if k == len(at):
+            break
+        spans.add((at[s], at[k] + 1))
+    s = 0
+    for k in range(1, len(at)):
+        while s + 1 < k and sums[k + 1] - sums[s + 1] >= least:
+            s += 1
+        if sums[k + 1] - sums[s] >= least:
+            spans.add((at[s], at[k] + 1))
+    return spans
+
+
 def chunk_hash(body: bytes) -> int:
     h = xxhash.xxh64_intdigest(body)
     return h - (1 << 64) if h >> 63 else h
@@ -74,17 +111,33 @@ Options = tuple[int, int, int, int]
 
 
 def _chunks(text: bytes, options: Options) -> tuple[list[bytes], list[tuple[int, int]], list[int]]:
-    """Lines, chunks and the hashes of chunks."""
+    """Lines, the chunks that can be removed, with lines without words next to them, and the hashes of these chunks."""
     lines = text.split(b"\n")
-    spans = cut_lines(lines, *options[:3])
-    return lines, spans, [chunk_hash(b"\n".join(lines[a:b])) for a, b in spans]
+    solo, least = options[2:]
+    counts = [len(line.split()) for line in lines]
+    starts, sums = [0], [0]
+    for line, n in zip(lines, counts):
+        starts.append(starts[-1] + len(line) + 1)
+        sums.append(sums[-1] + n)
+    spans = stretches(counts, least)
+    for a, b in cut_lines(lines, *options[:3]):
+        words = sums[b] - sums[a]
+        if words >= least and (b - a > 1 or words >= solo or (a and not counts[a - 1]) or (b < len(lines) and not counts[b])):
+            spans.add((a, b))
+    spans = sorted(spans)
+    return lines, spans, [chunk_hash(text[starts[a] : starts[b] - 1]) for a, b in spans]
+
+
+def _empty_lines(lines: Iterable[bytes]) -> list[bytes]:
+    """The lines up to the first that has words."""
+    return list(takewhile(lambda line: not line.split(), lines))
 
 
 def remove_repeats(text: bytes, row: int, known: dict[int, tuple[int, int, bytes, list[bytes], list[bytes]]], options: Options) -> tuple[bytes, int, int]:
     """What is left of a text, its lines and how many of them went.
 
     known: for each hash the row and number of its first occurrence, its bytes
-    and the lines before and after it there.
+    and the lines without words before and after it there.
     """
     lines, spans, hashes = _chunks(text, options)
     solo, least = options[2], options[3]
@@ -97,8 +150,8 @@ def remove_repeats(text: bytes, row: int, known: dict[int, tuple[int, int, bytes
         if first_row == row and first_number == k:
             stays[a:b] = [True] * (b - a)
         elif b"\n".join(lines[a:b]) == body:
-            found.append((a, b, before, after, first_row == row))
-    for a, b, before, after, inside in found:
+            found.append((a, b, before, after, spans[first_number][1] if first_row == row else 0))
+    for a, b, before, after, inside in found:  # inside: where the first occurrence ends, if it is in this text
         for there in reversed(before):
             if not a or (inside and stays[a - 1]) or lines[a - 1] != there:
                 break
@@ -109,6 +162,7 @@ def remove_repeats(text: bytes, row: int, known: dict[int, tuple[int, int, bytes
             b += 1
         words = sum(len(line.split()) for line in lines[a:b])
         if words >= least and (b - a > 1 or words >= solo):
+            a = max(a, inside)  # the first occurrence may overlap this one
             gone[a:b] = [True] * (b - a)
     if not any(gone):
         return text, len(lines), 0
@@ -176,7 +230,7 @@ def dedup_lines(
             lines, spans, _ = _chunks(part.column(text_col)[i].as_py().encode(), options)
             for h, k in asked.pop(r):
                 a, b = spans[k]
-                values = (h, r, k, b"\n".join(lines[a:b]), lines[max(0, a - BEFORE) : a], lines[b : b + AFTER])
+                values = (h, r, k, b"\n".join(lines[a:b]), _empty_lines(lines[max(0, a - BEFORE) : a][::-1])[::-1], _empty_lines(lines[b : b + AFTER]))
                 for name, value in zip(out, values):
                     out[name].append(value)
         several = pa.list_(pa.binary())

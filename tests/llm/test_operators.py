@@ -204,6 +204,18 @@ def test_simhash_groups(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id) == sorted({k for _, _, k in want if k})
 
 
+def test_drop_near_duplicates_keeps_one_row_of_each_component(spark):
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 60)) for _ in range(300)) for _ in range(7)]
+    fps = [brute_fingerprint(t) for t in texts]
+    assert len(set(brute_components(fps))) == len(texts)
+    rows = [(None, t, "s") for t in texts[:4] for _ in range(2)]  # components of null ids only
+    rows += [(1, texts[4], "s"), (2, texts[4], "s"), (2, texts[5], "s"), (3, texts[5], "s"), (2, texts[6], "s"), (None, texts[6], "s")]
+    kept = simhash.drop_near_duplicates(frame(spark, rows))
+    assert kept.columns == frame(spark, []).columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, t) for t in texts[:4]] + [(1, texts[4]), (2, texts[5]), (2, texts[6])])
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     found = {r.node: r.root for r in simhash.components(links).collect()}

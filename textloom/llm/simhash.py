@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, python_on
+from .common import cut, python_on, unused
 
 SEED = 42
 SHINGLE = 3
@@ -64,8 +64,8 @@ def fingerprint(text: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
-    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, fp long"
+    """(doc_id, fp, text_hash): fp as a signed long."""
+    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, fp long, text_hash long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +73,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for at in range(0, batch.num_rows, 256):
                 out += [fingerprint(b or b"") for b in batch.column(1).slice(at, 256).to_pylist()]
             fps = np.array(out, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return python_on(df).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(run, schema)
+    text = F.col(f"`{text_col}`")
+    return python_on(df).select(F.col(f"`{id_col}`").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, schema)
 
 
 def _signed(x: int) -> int:
@@ -211,6 +212,12 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """nodes (one row a fingerprint) with the root of each one's component."""
+    found = components(near_links(nodes.select("fp"), nodes.count()))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of df: doc_id, fp (signed), fingerprint (16 hexadecimal digits), component_id.
 
@@ -220,10 +227,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null. Rows with equal ids are looked at each for itself. Other columns are
     not read. An empty table gives an empty table.
     """
-    fps = cut(fingerprints(df, id_col, text_col))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    found = components(near_links(nodes.select("fp"), nodes.count()))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    fps = cut(fingerprints(df, id_col, text_col).drop("text_hash"))
+    rooted = _rooted(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     out = fps.join(named, "fp")
@@ -231,11 +236,15 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component: that of the smallest id; of rows that share it, one."""
-    groups = simhash_groups(df, id_col, text_col)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    kept = df.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """df with one row of each component: that of the smallest id, null ids last; of rows that share it, one."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "text_hash")
+    nodes = cut(fingerprints(df, id_col, text_col).groupBy("fp").agg(F.min(first).alias("first")))
+    stay = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.doc_id").alias("__stay"), F.col("first.text_hash").alias("__stay_hash"))
+    (text_hash,) = unused(df, "text_hash")
+    hashed = df.withColumn(text_hash, F.xxhash64(F.col(f"`{text_col}`")))
+    kept = hashed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")) & (F.col(text_hash) == F.col("__stay_hash")), "left_semi")
+    return kept.dropDuplicates([id_col, text_hash]).drop(text_hash)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

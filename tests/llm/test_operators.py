@@ -288,6 +288,27 @@ def test_field_adds_what_is_spelt_elsewhere(spark):
     assert pii.find_personal_data(frame(spark, [])).count() == 0
 
 
+def test_field_needs_no_base_span():
+    for text in ("call 18865557964 or later 18865557964 again", "card 4366.8264.2204.3230 and card 4366.8264.2204.3230 é"):
+        value = text.split()[1]
+        base, alone = pii.find_spans(text)
+        assert not any(base.values())
+        assert [text[s:e] for _, s, e in alone] == [value] * 2
+        assert alone == [x for x in pii.find_spans(text + " by a@b.org")[1] if x[0] != "email"]
+
+
+def test_field_equals_enumeration_of_a_tree():
+    from itertools import product
+
+    rng = np.random.default_rng(17)
+    unary, edges, weights = rng.normal(size=(4, 5)) * 2, np.array([[0, 1], [1, 2], [1, 3]]), np.array([0.2, 4.0, 4.0])
+    total = np.zeros((4, 5))
+    for ys in product(range(5), repeat=4):
+        p = math.exp(sum(unary[i, y] for i, y in enumerate(ys)) + sum(w for (a, b), w in zip(edges, weights) if ys[a] == ys[b] > 0))
+        total[range(4), ys] += p
+    assert np.allclose(pii._marginals(unary, edges, weights, 12), total / total.sum(axis=1, keepdims=True))
+
+
 # 6
 
 

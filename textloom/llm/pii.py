@@ -8,7 +8,8 @@ spells the same value (the same digits, the same last ten digits, the same
 address), however far away. Loopy sum-product messages run over the graph, and
 a token whose marginal for a kind passes one half becomes a span: a card
 number written with dots, a telephone number without its plus sign, when the
-document spells it out elsewhere.
+document spells it out elsewhere. Two tokens without a base span that spell the
+same value lift each other in the same way.
 
 No labels exist for personal data, so potentials are parameters, not learnt.
 """
@@ -133,9 +134,8 @@ def _marginals(unary: np.ndarray, edges: np.ndarray, weights: np.ndarray, rounds
     n, k = unary.shape
     if not len(edges):
         return _softmax(unary)
-    pair = np.zeros((len(edges), k, k))
-    pair[:, np.arange(1, k), np.arange(1, k)] = weights[:, None]
-    pair = np.concatenate([pair, pair])
+    gain = np.zeros((2 * len(edges), k))
+    gain[:, 1:] = np.expm1(np.concatenate([weights, weights]))[:, None]
     source = np.concatenate([edges[:, 0], edges[:, 1]])
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
@@ -143,9 +143,9 @@ def _marginals(unary: np.ndarray, edges: np.ndarray, weights: np.ndarray, rounds
     for _ in range(rounds):
         belief = unary.copy()
         np.add.at(belief, target, sent)
-        carry = (belief[source] - sent[back])[:, :, None] + pair
-        top = carry.max(axis=1)
-        new = np.log(np.exp(carry - top[:, None, :]).sum(axis=1)) + top
+        carry = belief[source] - sent[back]
+        carry = np.exp(carry - carry.max(axis=1, keepdims=True))
+        new = np.log(carry.sum(axis=1, keepdims=True) + gain * carry)
         new -= new.max(axis=1, keepdims=True)
         if np.abs(new - sent).max() < 1e-4:
             break
@@ -166,10 +166,8 @@ _TRIM = "()[]{}<>\"'`,;:!?."
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]], p: Potentials = Potentials()) -> list[tuple[str, int, int]]:
     """Spans that the field adds: tokens that overlap no base span."""
     covered = sorted((s, e, k) for k, spans in base.items() for s, e in spans)
-    if not covered:
-        return []  # nothing to be consistent with: by itself no shape passes one half
     starts = [c[0] for c in covered]
-    longest = max(e - s for s, e, _ in covered)
+    longest = max((e - s for s, e, _ in covered), default=0)
     nodes = [(s, e, 1 + KINDS.index(k)) for s, e, k in covered]
     for m in _TOKEN.finditer(text):
         if not ("@" in m[0] or _DIGIT.search(m[0])):
@@ -190,7 +188,7 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], p: Potentials
             nodes.append((start, end, 0))
     nodes.sort()
     unary = np.zeros((len(nodes), 1 + len(KINDS)))
-    edges, weights, last = [], [], {}
+    edges, weights, last, repeated = [], [], {}, False
     for i, (s, e, label) in enumerate(nodes):
         value = text[s:e]
         if label:
@@ -203,10 +201,13 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], p: Potentials
         near = set()
         for key in _keys(value, p):
             if key in last and last[key] not in near:
+                repeated = True
                 near.add(last[key])
                 edges.append((last[key], i))
                 weights.append(p.skip)
             last[key] = i
+    if not repeated:
+        return []  # no two nodes spell the same value: by itself, or in a chain, no shape passes one half
     found = _marginals(unary, np.array(edges, dtype=np.int64).reshape(-1, 2), np.array(weights), p.rounds)
     out = []
     for (s, e, label), m in zip(nodes, found):

@@ -460,6 +460,13 @@ def test_line_dedup_joins_short_lines(spark, n):
         assert left[i] == own[i]
 
 
+def test_line_dedup_joins_long_lines_that_stand_apart_elsewhere(spark):
+    a, b = " ".join(["alpha"] * 30), " ".join(["beta"] * 30)
+    rows = [(1, f"x\n{a}\ny", "s"), (2, f"z\n{b}\nw", "s"), (5, f"p\n{a}\n{b}\nq", "s"), (9, f"r\n{a}\n{b}\ns", "s")]
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert left == {i: t for i, t, _ in rows[:3]} | {9: "r\ns"}
+
+
 def test_line_dedup_keeps_the_first_of_overlapping_occurrences(spark):
     got = line_dedup.dedup_lines(frame(spark, [(1, "\n".join(["same"] * 40), "s"), (2, "\n".join(["same"] * 15), "s")])).collect()
     assert {r.doc_id: r.text.count("same") for r in got} == {1: 16, 2: 15}

@@ -32,7 +32,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, python_on, unused
@@ -63,9 +63,10 @@ def fingerprint(text: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * totals > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, text_hash): fp as a signed long."""
-    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, fp long, text_hash long"
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp as a signed long. Keyed, also (key1, key2): see row_keys."""
+    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, fp long" + ", key1 long, key2 long" * keyed
+    names = ["doc_id", "fp", "key1", "key2"][: 4 if keyed else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,10 +74,18 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for at in range(0, batch.num_rows, 256):
                 out += [fingerprint(b or b"") for b in batch.column(1).slice(at, 256).to_pylist()]
             fps = np.array(out, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "text_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=names)
 
-    text = F.col(f"`{text_col}`")
-    return python_on(df).select(F.col(f"`{id_col}`").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, schema)
+    read = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text")]
+    if keyed:
+        read += [k.alias(n) for k, n in zip(row_keys(id_col, text_col), names[2:])]
+    return python_on(df).select(*read).mapInArrow(run, schema)
+
+
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes of id and text, 128 bits together: rows that share them are equal in both."""
+    both = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return F.xxhash64(F.lit(1), *both), F.xxhash64(F.lit(2), *both)
 
 
 def _signed(x: int) -> int:
@@ -227,7 +236,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null. Rows with equal ids are looked at each for itself. Other columns are
     not read. An empty table gives an empty table.
     """
-    fps = cut(fingerprints(df, id_col, text_col).drop("text_hash"))
+    fps = cut(fingerprints(df, id_col, text_col))
     rooted = _rooted(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
@@ -236,15 +245,24 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component: that of the smallest id, null ids last; of rows that share it, one."""
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "text_hash")
-    nodes = cut(fingerprints(df, id_col, text_col).groupBy("fp").agg(F.min(first).alias("first")))
+    """df with one row of each component: that of the smallest id, null ids last.
+
+    Of rows that share the smallest id, that of one text stays; of rows that
+    are equal in id and text, any one. Ids decide nothing else, so rows that
+    share an id or have none, and are nobody's near copies, all stay. An empty
+    table gives an empty table.
+
+    Texts are shuffled once: rows equal in id and text become one row before
+    they are shuffled, by keys that also find the rows that stay.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key1", "key2")
+    nodes = cut(fingerprints(df, id_col, text_col, keyed=True).groupBy("fp").agg(F.min(first).alias("first")))
+    key1, key2, stay1, stay2 = unused(df, "key1", "key2", "stay1", "stay2")
     stay = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("first.doc_id").alias("__stay"), F.col("first.text_hash").alias("__stay_hash"))
-    (text_hash,) = unused(df, "text_hash")
-    hashed = df.withColumn(text_hash, F.xxhash64(F.col(f"`{text_col}`")))
-    kept = hashed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")) & (F.col(text_hash) == F.col("__stay_hash")), "left_semi")
-    return kept.dropDuplicates([id_col, text_hash]).drop(text_hash)
+    stay = stay.select(F.col("first.key1").alias(stay1), F.col("first.key2").alias(stay2))
+    keys = row_keys(id_col, text_col)
+    rows = df.select("*", keys[0].alias(key1), keys[1].alias(key2)).dropDuplicates([key1, key2])
+    return rows.join(stay, (F.col(key1) == F.col(stay1)) & (F.col(key2) == F.col(stay2)), "left_semi").drop(key1, key2)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

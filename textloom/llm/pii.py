@@ -8,8 +8,20 @@ spells the same value (the same digits, the same last ten digits, the same
 address), however far away. Loopy sum-product messages run over the graph, and
 a token whose marginal for a kind passes one half becomes a span: a card
 number written with dots, a telephone number without its plus sign, when the
-document spells it out elsewhere. Two tokens without a base span that spell the
-same value lift each other in the same way.
+document spells it out elsewhere.
+
+An edge's weight depends on what is observed: among mentions of a value of
+which one is a base span it is ``skip``, among others ``weak``. Tokens that
+spell the same value and are no base span (a date, an order number, said twice)
+share potentials too, but do not make each other personal data. That can be
+shown: by itself a kind is ``outside - shape`` below none. Over an edge of
+weight w, a node where a kind has at most one half lifts that kind by at most
+log((1 + e^w) / 2), and a base span by w. A node has two chain edges and, without
+support, at most six weak ones (before and after, by address, by all digits and
+by the last ten). ``Potentials`` checks that these together stay below
+``outside - shape``; so, round by round, no marginal passes one half. Texts in
+which no base span is repeated have nothing to add, and skipping the messages
+there changes no result.
 
 No labels exist for personal data, so potentials are parameters, not learnt.
 """
@@ -20,7 +32,8 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -91,13 +104,18 @@ class Potentials:
     clamped: float = 30.0
     outside: float = 2.5
     shape: float = 1.5
-    chain: float = 0.2
+    chain: float = 0.1
+    #: Of edges among mentions of a value that a base span spells, and among others.
     skip: float = 4.0
+    weak: float = 0.2
     rounds: int = 12
     #: Digits from which a value names something by itself.
     least_digits: int = 8
     tail_digits: int = 10
-    kinds: tuple[str, ...] = field(default=KINDS)
+
+    def __post_init__(self) -> None:
+        if self.outside - self.shape <= 2 * self.chain + 6 * np.log((1 + np.exp(self.weak)) / 2):
+            raise ValueError("tokens could become spans without the support of a base span")
 
 
 def _keys(value: str, p: Potentials) -> list[str]:
@@ -163,54 +181,71 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 _TRIM = "()[]{}<>\"'`,;:!?."
 
 
-def added_spans(text: str, base: dict[str, list[tuple[int, int]]], p: Potentials = Potentials()) -> list[tuple[str, int, int]]:
-    """Spans that the field adds: tokens that overlap no base span."""
+class _Groups:
+    """Mentions joined by the values that they share."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.root(j)] = self.root(i)
+
+
+def field_of(text: str, base: dict[str, list[tuple[int, int]]], p: Potentials = Potentials()) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Nodes (start, end, label of a base span or 0), unary potentials, edges, their weights, and whether a base span's value is repeated."""
     covered = sorted((s, e, k) for k, spans in base.items() for s, e in spans)
     starts = [c[0] for c in covered]
-    longest = max((e - s for s, e, _ in covered), default=0)
+    furthest = list(accumulate((e for _, e, _ in covered), max))
     nodes = [(s, e, 1 + KINDS.index(k)) for s, e, k in covered]
     for m in _TOKEN.finditer(text):
         if not ("@" in m[0] or _DIGIT.search(m[0])):
             continue
         value = m[0].strip(_TRIM)
-        start = m.start() + m[0].find(value) if value else m.start()
-        end = start + len(value)
-        if not value or len(value) > 320:
+        if not value:
             continue
+        start = m.start() + m[0].find(value)
+        end = start + len(value)
         i = bisect_right(starts, end - 1) - 1
-        overlaps = False
-        while i >= 0 and covered[i][0] > start - longest - 1:
-            if covered[i][1] > start:
-                overlaps = True
-                break
-            i -= 1
-        if not overlaps:
+        if i < 0 or furthest[i] <= start:  # no base span that starts before the token's end reaches into it
             nodes.append((start, end, 0))
     nodes.sort()
     unary = np.zeros((len(nodes), 1 + len(KINDS)))
-    edges, weights, last, repeated = [], [], {}, False
+    edges = [(i - 1, i) for i in range(1, len(nodes))]
+    chain = len(edges)
+    groups, last = _Groups(len(nodes)), {}
     for i, (s, e, label) in enumerate(nodes):
         value = text[s:e]
         if label:
             unary[i, label] = p.clamped
         else:
             unary[i] = _shape(value, p)
-        if i:
-            edges.append((i - 1, i))
-            weights.append(p.chain)
         near = set()
         for key in _keys(value, p):
             if key in last and last[key] not in near:
-                repeated = True
                 near.add(last[key])
                 edges.append((last[key], i))
-                weights.append(p.skip)
+                groups.join(last[key], i)
             last[key] = i
-    if not repeated:
-        return []  # no two nodes spell the same value: by itself, or in a chain, no shape passes one half
-    found = _marginals(unary, np.array(edges, dtype=np.int64).reshape(-1, 2), np.array(weights), p.rounds)
+    supported = {groups.root(i) for i, (_, _, label) in enumerate(nodes) if label}
+    weights = [p.chain] * chain + [p.skip if groups.root(i) in supported else p.weak for i, _ in edges[chain:]]
+    return nodes, unary, np.array(edges, dtype=np.int64).reshape(-1, 2), np.array(weights), p.skip in weights[chain:]
+
+
+def added_spans(text: str, base: dict[str, list[tuple[int, int]]], p: Potentials = Potentials()) -> list[tuple[str, int, int]]:
+    """Spans that the field adds: tokens that overlap no base span."""
+    if not any(base.values()):
+        return []  # without support no token passes one half
+    nodes, unary, edges, weights, supported = field_of(text, base, p)
+    if not supported:
+        return []
     out = []
-    for (s, e, label), m in zip(nodes, found):
+    for (s, e, label), m in zip(nodes, _marginals(unary, edges, weights, p.rounds)):
         k = int(m.argmax())
         if not label and k and m[k] > 0.5:
             out.append((KINDS[k - 1], s, e))
@@ -234,7 +269,8 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row a row of df: doc_id, n_<kind> (base spans), base_spans, spans (kind:start:end, comma-joined).
 
     Null texts count as empty and have no spans. Ids are passed on, null or
-    repeated. Other columns are not read. Texts are worked off one by one.
+    repeated. Other columns are not read. Texts are worked off one by one,
+    whole, with tokens of any length. An empty table gives an empty table.
     """
     schema = T.StructType(
         [T.StructField("doc_id", df.schema[id_col].dataType)]

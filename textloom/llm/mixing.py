@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, power_of_two, unused, word_count
+from .common import cut, id_text, power_of_two, unused, word_count
 
 #: Rows that a cell should hold at most, if hashes spread evenly.
 ROWS_PER_CELL = 4096
@@ -76,69 +76,70 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    keep_text: bool = True,
 ) -> DataFrame:
     """All rows of df with size, source_size, target, copies and taken.
 
     ``copies`` says how often the mix takes the row, ``taken`` how many words
     that is. The columns of df stay, unless they have one of these five names,
-    which are replaced. Null text has size 0; rows without a source form the
-    last source; a null id counts as the empty text; equal rows get places one
-    after the other, in no special order, and so the same rows come out of
-    every run. A source whose documents are all empty has target 0. An empty
-    table gives an empty table.
+    which are replaced; with ``keep_text`` false the text goes too, and rows
+    without texts are written once and read from then on, so texts are read
+    once. Null text has size 0; rows without a source form the last source; a
+    null id counts as the empty text; equal rows get places one after the
+    other, in no special order, and so the same rows come out of every run. A
+    source whose documents are all empty has target 0. An empty table gives an
+    empty table.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in df.columns if c.lower() not in made]
-    size, source, key, part, length, lead = unused(df, "size", "source", "key", "part", "length", "lead")
-    rows = df.count()
-    slices = power_of_two(min(4096, max(1, rows / ROWS_PER_CELL)))
-    shift = HASH_BITS - (slices.bit_length() - 1)
+    kept = [c for c in df.columns if c.lower() not in made and (keep_text or c != text_col)]
+    names = unused(df, "id", "size", "source", "key", "part", "length", "lead", "cell", "n", "words", "before", "source_size", "target", "rank", "copies")
+    ident, size, source, key, part, length, lead, cell, n, s, before, source_size, target, rank, copies = names
+    c = F.col
     sized = df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c in kept or c in (source_col, id_col)],
+        *[F.col(f"`{x}`") for x in kept],
+        F.col(f"`{id_col}`").alias(ident),
         word_count(F.col(f"`{text_col}`")).alias(size),
         F.col(f"`{source_col}`").alias(source),
         _hash60(F.concat(F.lit(f"{seed}:"), id_text(F.col(f"`{id_col}`")))).alias(key),
     )
-    found = _size_class(F.col(size))
-    sized = sized.withColumn(length, found[0]).withColumn(lead, found[1])
-    sized = sized.withColumn(part, F.shiftright(F.col(key), shift))
-
-    counted = sized.groupBy(F.col(source).alias("source"), F.col(length).alias("l"), F.col(lead).alias("b"), F.col(part).alias("p")).agg(
-        F.count("*").alias("n"), F.sum(size).alias("s")
-    )
-    sources = counted.groupBy("source").agg(F.sum("s").alias("source_size"))
-    targets = source_targets(sources, weights, share, limit)
-    along = Window.partitionBy("source").orderBy("l", "b", "p").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counted.select("source", "l", "b", "p", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
-    cells = cells.withColumnRenamed("source", "c_source").join(targets, F.col("c_source").eqNullSafe(F.col("source"))).drop("source")
-
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(source), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
-    rank = F.row_number().over(Window.partitionBy(source, length, lead, part).orderBy(key, *[F.col(f"`{id_col}`").asc_nulls_first()]))
-    placed = sized.withColumn("__rank", rank).join(
-        cells,
-        F.col(source).eqNullSafe(F.col("c_source")) & (F.col(length) == F.col("l")) & (F.col(lead) == F.col("b")) & (F.col(part) == F.col("p")),
-    )
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    if not keep_text:
+        sized = cut(sized)
+    slices = power_of_two(min(4096, max(1, sized.count() / ROWS_PER_CELL)))
+    found = _size_class(c(size))
+    sized = sized.withColumns({length: found[0], lead: found[1], part: F.shiftright(c(key), HASH_BITS - (slices.bit_length() - 1))})
+    # places and cells are found by one key without nulls, so that rows are shuffled once for both
+    sized = sized.withColumn(cell, F.struct(c(source).isNull().alias("none"), F.coalesce(source, F.lit("")).alias("s"), c(length).alias("l"), c(lead).alias("b"), c(part).alias("p")))
+
+    counted = cut(sized.groupBy(c(source).alias("source"), cell).agg(F.count("*").alias(n), F.sum(size).alias(s)))
+    targets = source_targets(counted.groupBy("source").agg(F.sum(s).alias("source_size")), weights, share, limit)
+    targets = targets.select(c("source").alias("t_source"), c("source_size").alias(source_size), c("target").alias(target))
+    along = Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = counted.select("source", c(cell).alias("c_cell"), F.coalesce(F.sum(n).over(along), F.lit(0)).alias(before))
+    cells = cells.join(targets, c("source").eqNullSafe(c("t_source")))
+    (c_cell,) = unused(sized, "c_cell")
+    cells = cells.select(c("c_cell").alias(c_cell), before, source_size, target)
+
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(c(source), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
+    order = Window.partitionBy(cell).orderBy(key, c(ident).asc_nulls_first())
+    placed = sized.withColumn(rank, F.row_number().over(order)).join(cells, c(cell) == c(c_cell))
+    rate = F.when(c(source_size) > 0, c(target) / c(source_size)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     over = rate - whole
-    place = F.col("before") + F.col("__rank")
+    place = c(before) + c(rank)
     crossed = F.floor(offset + over * place) - F.floor(offset + over * (place - 1))
-    copies = F.least(whole + crossed, F.ceil(rate)).cast("long")
-    return placed.withColumn("__copies", copies).select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.col(size).alias("size"),
-        F.col("source_size"),
-        F.col("target"),
-        F.col("__copies").alias("copies"),
-        (F.col("__copies") * F.col(size)).alias("taken"),
-    )
+    placed = placed.withColumn(copies, F.least(whole + crossed, F.ceil(rate)).cast("long"))
+    return placed.select(
+        *[F.col(f"`{x}`") for x in kept],
+        c(size).alias("size"), c(source_size).alias("source_size"), c(target).alias("target"), c(copies).alias("copies"), (c(copies) * c(size)).alias("taken"),
+    )
 
 
 def take_mix(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of df as often as mix_sources says, with df's columns."""
+    """The mix itself: each row of df as often as mix_sources says, with df's columns (but for the five names that it replaces)."""
     mixed = mix_sources(df, **options).where(F.col("copies") > 0)
-    kept = [F.col(f"`{c}`") for c in mixed.columns[: -5]]
-    return mixed.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    (copy,) = unused(mixed, "copy")
+    kept = [F.col(f"`{x}`") for x in mixed.columns[:-5]]
+    return mixed.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy)).drop(copy)
 
 
 #: DuckDB SQL for the rows of op1: the same sums in one window over each source.
@@ -177,4 +178,4 @@ SELECT doc_id, size, source_size, target, size * copies AS taken FROM taking
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")

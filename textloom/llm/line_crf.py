@@ -6,14 +6,16 @@ each line; a document's quality is the mean of its lines' marginals, weighted
 by length, and calibrated.
 
 Weights are fitted here: labelled documents give their label to their lines,
-and the conditional likelihood is climbed on a bounded sample of them. Scores
-read texts only.
+and the conditional likelihood is climbed on a bounded sample of them, each
+read whole. Scores read texts only, one at a time, in pieces of so many lines
+that a text of millions of lines needs some tens of bytes a line besides itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,10 @@ from pyspark.sql import types as T
 
 from .common import id_text, python_on
 
-#: Labelled documents that the fit reads at most, and lines of each: a stretch from the middle.
-FIT_DOCUMENTS = 4000
-FIT_LINES = 256
+#: Labelled documents that the fit reads at most, and lines that they have together at most.
+FIT_DOCUMENTS, FIT_LINES = 4000, 200_000
+#: Lines whose features are made at a time; numbers of a group of chains that are worked off side by side, and lines from which a chain is by itself.
+PIECE, GROUP_CELLS, LONG_LINES = 4096, 1 << 16, 2048
 STEPS = 250
 SYMBOLS = b"#*$%&|<>{}[]=_~^\\/@+"
 DIGITS = b"0123456789"
@@ -35,18 +38,39 @@ LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 N_FEATURES = 16
 
 
-def line_features(lines: list[bytes]) -> np.ndarray:
-    """One row a line."""
-    out = np.zeros((len(lines), N_FEATURES))
-    seen: dict[int, int] = {}
-    last = None
-    for i, line in enumerate(lines):
+def line_ends(text: bytes) -> np.ndarray:
+    """Where each line of a text ends."""
+    return np.append(np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 10), len(text))
+
+
+def pieces(text: bytes, ends: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """The lines of a text, some at a time, with the number of the first."""
+    for at in range(0, len(ends), PIECE):
+        start = int(ends[at - 1]) + 1 if at else 0
+        yield at, text[start : int(ends[min(at + PIECE, len(ends)) - 1])].split(b"\n")
+
+
+def place_features(hashes: np.ndarray) -> np.ndarray:
+    """What a line's place says, from the hashes of all lines: as the one before, times seen before, share of distinct lines so far."""
+    n = len(hashes)
+    order = np.argsort(hashes, kind="stable")
+    in_order = hashes[order]
+    first = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1])))
+    again = np.empty(n, dtype=np.int64)
+    again[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    out = np.zeros((n, 3))
+    out[1:, 0] = hashes[1:] == hashes[:-1]
+    out[:, 1] = np.minimum(again, 5) / 5
+    out[:, 2] = np.cumsum(again == 0) / np.arange(1, n + 1)
+    return out
+
+
+def word_features(lines: list[bytes]) -> np.ndarray:
+    """What each line says by itself."""
+    out = np.zeros((len(lines), N_FEATURES - 3))
+    for f, line in zip(out, lines):
         ws = line.split()
         n, nw = len(line), len(ws)
-        h = xxhash.xxh64_intdigest(line)
-        again = seen.get(h, 0)
-        seen[h] = again + 1
-        f = out[i]
         f[0] = np.log1p(nw)
         if nw:
             mean = (n - nw + 1) / nw
@@ -64,20 +88,32 @@ def line_features(lines: list[bytes]) -> np.ndarray:
             f[10] = sum(len(w) == 1 for w in ws) / nw
             f[11] = (mean > 12) + (mean < 3)
             f[12] = nw < 5
-        f[13] = last == h
-        f[14] = min(again, 5) / 5
-        f[15] = len(seen) / (i + 1)
-        last = h
     return out
 
 
-def chain_features(lines: list[bytes]) -> np.ndarray:
+def features(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Features of a text's lines by themselves, some lines at a time, with the number of the first."""
+    ends = line_ends(text)
+    hashes = np.empty(len(ends), dtype=np.uint64)
+    for at, lines in pieces(text, ends):
+        hashes[at : at + len(lines)] = np.fromiter(map(xxhash.xxh64_intdigest, lines), dtype=np.uint64, count=len(lines))
+    places = place_features(hashes)
+    for at, lines in pieces(text, ends):
+        yield at, np.hstack([word_features(lines), places[at : at + len(lines)]])
+
+
+def chain_features(text: bytes) -> np.ndarray:
     """Features of each line, of the lines before and after it, and a constant."""
-    own = line_features(lines)
+    own = np.vstack([x for _, x in features(text)])
     none = np.zeros((1, own.shape[1]))
     return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), np.ones((len(own), 1))])
 
 
+def line_sizes(text: bytes) -> np.ndarray:
+    """Bytes of each line, its end counted."""
+    return np.diff(line_ends(text), prepend=-1).astype(float)
+
+
 def marginals(unary: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of each line, and expected transitions (chains, 2, 2).
 
@@ -109,6 +145,48 @@ def marginals(unary: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple
     return np.where(at, good, 0.0), pairs
 
 
+def chain_odds(unary: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Log odds of good of each line; (chains, lines), padded. As marginals, in half the numbers and without transitions."""
+    n = unary.shape[1]
+    ahead, behind = unary.copy(), np.zeros_like(unary)
+    for t in range(1, n):
+        a = ahead[:, t - 1]
+        ahead[:, t] += np.logaddexp(move[0, 1], a + move[1, 1]) - np.logaddexp(move[0, 0], a + move[1, 0])
+    for t in range(n - 2, -1, -1):
+        x = unary[:, t + 1] + behind[:, t + 1]
+        behind[:, t] = np.where(t + 1 < lengths, np.logaddexp(move[1, 0], x + move[1, 1]) - np.logaddexp(move[0, 0], x + move[0, 1]), 0.0)
+    return ahead + behind
+
+
+def long_chain_odds(unary: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """chain_odds of one chain, number by number."""
+    (m00, m01), (m10, m11) = np.exp(move - move.max()).tolist()
+
+    def carry(x: float, bad_good: float, good_bad: float) -> float:
+        if x > 0:
+            e = exp(-x)
+            return log((bad_good * e + m11) / (m00 * e + good_bad))
+        e = exp(x)
+        return log((bad_good + m11 * e) / (m00 + good_bad * e))
+
+    out = np.empty(len(unary))
+    a = 0.0
+    for at in range(0, len(unary), PIECE):
+        part = unary[at : at + PIECE].tolist()
+        for i, u in enumerate(part):
+            a = u + carry(a, m01, m10) if at or i else u
+            part[i] = a
+        out[at : at + PIECE] = part
+    b = 0.0
+    for at in reversed(range(0, len(unary), PIECE)):
+        part = unary[at : at + PIECE].tolist()
+        for i in reversed(range(len(part))):
+            u, part[i] = part[i], b
+            b = carry(u + b, m10, m01)
+        out[at : at + PIECE] += part
+    return out
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -118,27 +196,56 @@ class Model:
     slope: float
     shift: float
 
-    def document_scores(self, texts: list[bytes]) -> np.ndarray:
+    def unary(self, text: bytes) -> np.ndarray:
+        """Log odds of good of each line by itself."""
+        weights = self.weights / self.scale
+        parts = weights[:-1].reshape(3, N_FEATURES).T
+        each = np.vstack([x @ parts for _, x in features(text)])
+        out = each[:, 0] + weights[-1] - self.mean @ weights
+        out[1:] += each[:-1, 1]
+        out[:-1] += each[1:, 2]
+        return out
+
+    def document_scores(self, texts: Iterable[bytes]) -> np.ndarray:
         """Quality of each text, from 0 to 1."""
-        chains = [t.split(b"\n") for t in texts]
-        order = np.argsort([-len(c) for c in chains], kind="stable")
-        out = np.empty(len(texts))
-        step = 64
-        for at in range(0, len(order), step):
-            these = order[at : at + step]
-            lengths = np.array([len(chains[i]) for i in these])
-            unary = np.zeros((len(these), lengths.max()))
-            size = np.zeros_like(unary)
-            for r, i in enumerate(these):
-                unary[r, : lengths[r]] = ((chain_features(chains[i]) - self.mean) / self.scale) @ self.weights
-                size[r, : lengths[r]] = [len(line) + 1 for line in chains[i]]
-            good, _ = marginals(unary, lengths, self.move)
-            out[these] = (good * size).sum(axis=1) / size.sum(axis=1)
-        return self.calibrated(out)
+        means: list[float] = []
+        waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def work_off() -> None:
+            """Chains of like length side by side, so that padding is small."""
+            waiting.sort(key=lambda w: len(w[1]))
+            while waiting:
+                longest = len(waiting[-1][1])
+                group = [waiting.pop() for _ in range(min(len(waiting), max(1, GROUP_CELLS // longest)))]
+                unary, size = np.zeros((2, len(group), longest))
+                for r, (_, u, s) in enumerate(group):
+                    unary[r, : len(u)], size[r, : len(u)] = u, s
+                good = sigmoid(chain_odds(unary, np.array([len(u) for _, u, _ in group]), self.move))
+                for (i, _, s), total in zip(group, (good * size).sum(axis=1)):
+                    means[i] = total / s.sum()
+
+        held = 0
+        for i, text in enumerate(texts):
+            unary, size = self.unary(text), line_sizes(text)
+            means.append(0.0)
+            if len(unary) > LONG_LINES:
+                means[i] = float(sigmoid(long_chain_odds(unary, self.move)) @ size / size.sum())
+            else:
+                waiting.append((i, unary, size))
+                held += len(unary)
+            if held > 8 * GROUP_CELLS:
+                work_off()
+                held = 0
+        work_off()
+        return self.calibrated(np.array(means))
 
     def calibrated(self, mean: np.ndarray) -> np.ndarray:
         p = np.clip(mean, 1e-6, 1 - 1e-6)
-        return 1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift)))
+        return sigmoid(self.slope * np.log(p / (1 - p)) + self.shift)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
 def fit(chains: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, decay: float = 0.02) -> Model:
@@ -152,7 +259,11 @@ def fit(chains: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, s
     scale[scale < 1e-6] = 1.0
     mean[-1], scale[-1] = 0.0, 1.0
     rows = (rows - mean) / scale
-    groups = [g for g in np.array_split(np.argsort(lengths, kind="stable"), max(1, len(lengths) // 250)) if len(g)]
+    groups, left = [], np.argsort(-lengths, kind="stable")
+    while len(left):  # chains of like length together, so that padding is small
+        most = max(1, min(250, GROUP_CELLS // lengths[left[0]]))
+        groups.append(left[:most])
+        left = left[most:]
     first = np.concatenate(([0], np.cumsum(lengths)))
     padded = []
     for g in groups:
@@ -198,29 +309,40 @@ def fit(chains: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, s
     return model
 
 
-def learn(df: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", documents: int = FIT_DOCUMENTS) -> Model:
-    """Fit on at most ``documents`` labelled rows of df for which ``may_learn`` (of column id) holds, chosen by hash.
+def learn(
+    df: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", documents: int = FIT_DOCUMENTS, lines: int = FIT_LINES
+) -> Model:
+    """Fit on labelled rows of df for which ``may_learn`` (of column id) holds: in the order of a hash, as many as have
+    ``documents`` rows and ``lines`` lines together at most. A row that would pass that sum is passed over; all others are read whole.
 
-    labels: doc_id, quality; of several labels of an id the largest counts, null ones don't.
+    labels: doc_id, quality; of several labels of an id the largest counts, null ones don't. Equal rows count once.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("label"))
     chosen = known.where(may_learn).orderBy(F.xxhash64("id"), "id").limit(documents)
-    texts = python_on(df).select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(documents)
+    rows = python_on(df).select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    listed = rows.join(F.broadcast(chosen), "id").select("id", "h", n_lines.alias("n")).orderBy(F.xxhash64("id"), "id", "h").limit(documents)
+    taken, sum_of_lines = [], 0
+    for r in listed.distinct().orderBy(F.xxhash64("id"), "id", "h").collect():  # bounded by ``documents``
+        if sum_of_lines + r["n"] <= lines:
+            taken.append((r["id"], r["h"]))
+            sum_of_lines += r["n"]
+    wanted = df.sparkSession.createDataFrame(taken, T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("h", T.LongType())]))
+    texts = rows.join(F.broadcast(wanted), ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text")).join(F.broadcast(chosen), "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], []
             for text in batch.column(0).to_pylist():
-                lines = text.split(b"\n")
-                middle = max(0, (len(lines) - FIT_LINES) // 2)
-                out.append(chain_features(lines)[middle : middle + FIT_LINES].astype("<f4").tobytes())
-                size.append(np.array([len(x) + 1 for x in lines[middle : middle + FIT_LINES]], dtype="<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(size, pa.binary()), batch.column(1)], names=["x", "size", "label"])
+                out.append(chain_features(text).astype("<f4").tobytes())
+                size.append(line_sizes(text).astype("<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(size, pa.binary()), *batch.columns[1:]], names=["x", "size", "label", "at"])
 
-    got = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(read, "x binary, size binary, label int").collect()
+    at = F.struct(F.xxhash64("id"), "id", "h").cast("string")
+    got = texts.select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"), at.alias("at")).mapInArrow(read, "x binary, size binary, label int, at string").collect()
+    got.sort(key=lambda r: r["at"])
     chains = [np.frombuffer(bytes(r["x"]), dtype="<f4").reshape(-1, 3 * N_FEATURES + 1).astype(float) for r in got]
-    sizes = [np.frombuffer(bytes(r["size"]), dtype="<i8").astype(float) for r in got]
+    sizes = [np.frombuffer(bytes(r["size"]), dtype="<f8") for r in got]
     return fit(chains, sizes, np.array([float(r["label"] > 0) for r in got]))
 
 
@@ -228,7 +350,8 @@ def score_quality(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """df with ``score`` (replacing a column of that name): from 0 to 1, higher for good texts.
 
     Null texts count as empty, one line without words. Equal texts have equal
-    scores. An empty table gives an empty table.
+    scores, up to the last bits. Texts of any number of lines are read whole.
+    An empty table gives an empty table.
     """
     df = python_on(df).select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "score"])
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
@@ -238,8 +361,7 @@ def score_quality(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [(t or "").encode() for t in part.column(place).to_pylist()]
-                scores = model.document_scores(texts)
+                scores = model.document_scores((t.as_py() or "").encode() for t in part.column(place))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -1,34 +1,35 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last ``window`` lines decides where
-chunks end, so the same lines are cut alike wherever they stand. Each residue of
-the hash gives one cut of the text: with two residues, of any three lines in a
-row two end a chunk in the same cut, so every repeated passage of three lines
-or more holds a whole chunk. A line of half of ``solo_words`` words is always a
-chunk of its own: of two lines that are a passage together, one is such a line.
-A line of ``solo_words`` words is a passage by itself.
-
-Chunks alone miss passages: those of short lines have chunks of too few words,
-and a chunk's first occurrence may stand in another document beside other lines.
-So stretches are chunks too: from each line with words the shortest run onwards
-of several such lines that has ``least_words`` words, and the same backwards.
-Each line of a passage of several lines and ``least_words`` words lies in a
-stretch that lies in the passage, so all of it is found, whatever its lines'
-lengths and wherever else they occur. Only lines without words may lie outside.
+A window slides along the lines: it ends at a line and reaches back over as few
+lines as have ``least_words`` words, two at least. A rolling hash over the
+hashes of its lines (the new line comes in, those that fall out are taken off)
+depends on them alone, so the same lines have the same hash wherever they
+stand. It decides where chunks end: each residue of the hash gives one cut of
+the text into chunks of several lines, and no shift of a passage moves a cut
+inside it, once a window lies in the passage.
+
+A passage may be too short to hold a whole chunk of a cut, or its lines may
+stand in several earlier documents. So the windows are chunks themselves, and
+so are those that reach forward: from each line the fewest lines onwards. Each
+line of a passage of several lines and ``least_words`` words lies in a window
+that lies in the passage, so all of it is found, whatever its lines' lengths and
+wherever else they occur. Only lines without words may lie outside. A line of
+``solo_words`` words is a passage, and a chunk, by itself.
 
 Chunks are counted over the whole table by hash. Of a chunk that is found twice
 or more, the first occurrence (smallest id, then place) stays; every other is
-compared with it byte by byte, and the comparison goes on over lines without
-words next to it in both directions. What agrees is removed if it has several lines, or is
-a passage by itself, and ``least_words`` words; so a single common line stays.
+compared with it byte by byte and removed, with the lines without words next to
+it in which both agree. A single line of fewer than ``solo_words`` words stays.
 
 Texts are shuffled once, into buckets of bounded size; both passes over the
 texts read the same shuffle. What else moves are hashes, counted per bucket
-before they are shuffled, and one text for each repeated chunk and bucket.
+before they are shuffled, and one text for each repeated chunk and bucket. Equal
+rows are merged and counted before they are shuffled.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import takewhile
 
@@ -39,11 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, python_on, text_bytes, unused
+from .common import cut, merge_equal, python_on, text_bytes, unused
 
 BUCKET_BYTES = 6 << 20
 DIVISOR = 2
-WINDOW = 1
 SOLO_WORDS = 50
 LEAST_WORDS = 16
 #: Lines without words before and after a chunk that are compared too, at most.
@@ -52,30 +52,34 @@ _ODD = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
 
-def cut_lines(lines: list[bytes], divisor: int = DIVISOR, window: int = WINDOW, solo: int = SOLO_WORDS) -> list[tuple[int, int]]:
-    """All chunks (first line, line after the last) of the cuts by each residue."""
+def cut_lines(lines: list[bytes], counts: list[int], divisor: int = DIVISOR, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """All chunks (first line, line after the last) of the cuts by each residue; counts: words of each line."""
     ends: list[list[int]] = [[0] for _ in range(divisor)]
-    drop = pow(_ODD, window, 1 << 64)
-    hashes = [xxhash.xxh64_intdigest(line) for line in lines]
-    rolled, half = 0, (solo + 1) // 2
-    for i, line in enumerate(lines):
-        rolled = (rolled * _ODD + hashes[i]) & _ALL
-        if i >= window:
-            rolled = (rolled - hashes[i - window] * drop) & _ALL
-        if len(line) >= 2 * half - 1 and len(line.split()) >= half:
-            for e in ends:
-                e += [i, i + 1]
-        else:
+    window: deque[tuple[int, int]] = deque()  # hash and words of each line in it; lines without words are left out
+    rolled, words = 0, 0
+    for i, (line, n) in enumerate(zip(lines, counts)):
+        if not n:
+            continue
+        h = xxhash.xxh64_intdigest(line)
+        window.append((h, n))
+        rolled = (rolled * _ODD + h) & _ALL
+        words += n
+        while len(window) > 2 and words - window[0][1] >= least:
+            h, n = window.popleft()
+            rolled = (rolled - h * pow(_ODD, len(window), 1 << 64)) & _ALL
+            words -= n
+        if len(window) > 1 and words >= least:
             ends[(rolled >> 32) % divisor].append(i + 1)
     spans = set()
     for e in ends:
-        e.append(len(lines))
-        spans.update((a, b) for a, b in zip(e, e[1:]) if a < b)
+        if e[-1] < len(lines):
+            e.append(len(lines))
+        spans.update(zip(e, e[1:]))
     return sorted(spans)
 
 
 def stretches(counts: list[int], least: int = LEAST_WORDS) -> set[tuple[int, int]]:
-    """The shortest runs of several lines with words that have least words, from each such line on and back from each.
+    """The windows: shortest runs of several lines with words that have least words, from each such line on and back from each.
 
     counts: words of each line.
     """
@@ -107,23 +111,22 @@ def chunk_hash(body: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-Options = tuple[int, int, int, int]
+Options = tuple[int, int, int]
 
 
 def _chunks(text: bytes, options: Options) -> tuple[list[bytes], list[tuple[int, int]], list[int]]:
-    """Lines, the chunks that can be removed, with lines without words next to them, and the hashes of these chunks."""
+    """Lines, the chunks that can be removed, and their hashes."""
     lines = text.split(b"\n")
-    solo, least = options[2:]
+    divisor, solo, least = options
     counts = [len(line.split()) for line in lines]
-    starts, sums = [0], [0]
+    starts, sums, full = [0], [0], [0]
     for line, n in zip(lines, counts):
         starts.append(starts[-1] + len(line) + 1)
         sums.append(sums[-1] + n)
+        full.append(full[-1] + (n > 0))
     spans = stretches(counts, least)
-    for a, b in cut_lines(lines, *options[:3]):
-        words = sums[b] - sums[a]
-        if words >= least and (b - a > 1 or words >= solo or (a and not counts[a - 1]) or (b < len(lines) and not counts[b])):
-            spans.add((a, b))
+    spans.update((a, b) for a, b in cut_lines(lines, counts, divisor, least) if sums[b] - sums[a] >= least and full[b] - full[a] > 1)
+    spans.update((i, i + 1) for i, n in enumerate(counts) if n >= solo)
     spans = sorted(spans)
     return lines, spans, [chunk_hash(text[starts[a] : starts[b] - 1]) for a, b in spans]
 
@@ -140,7 +143,6 @@ def remove_repeats(text: bytes, row: int, known: dict[int, tuple[int, int, bytes
     and the lines without words before and after it there.
     """
     lines, spans, hashes = _chunks(text, options)
-    solo, least = options[2], options[3]
     gone, stays = [False] * len(lines), [False] * len(lines)
     found = []
     for k, ((a, b), h) in enumerate(zip(spans, hashes)):
@@ -160,10 +162,8 @@ def remove_repeats(text: bytes, row: int, known: dict[int, tuple[int, int, bytes
             if b >= len(lines) or (inside and stays[b]) or lines[b] != there:
                 break
             b += 1
-        words = sum(len(line.split()) for line in lines[a:b])
-        if words >= least and (b - a > 1 or words >= solo):
-            a = max(a, inside)  # the first occurrence may overlap this one
-            gone[a:b] = [True] * (b - a)
+        a = max(a, inside)  # the first occurrence may overlap this one
+        gone[a:b] = [True] * (b - a)
     if not any(gone):
         return text, len(lines), 0
     return b"\n".join(line for line, x in zip(lines, gone) if not x), len(lines), sum(gone)
@@ -172,7 +172,6 @@ def remove_repeats(text: bytes, row: int, known: dict[int, tuple[int, int, bytes
 def dedup_lines(
     df: DataFrame,
     divisor: int = DIVISOR,
-    window: int = WINDOW,
     solo_words: int = SOLO_WORDS,
     least_words: int = LEAST_WORDS,
     id_col: str = "doc_id",
@@ -187,13 +186,13 @@ def dedup_lines(
     occurrences. Rows that are equal in id and text are one document and keep
     the same lines. An empty table gives an empty table.
     """
-    options = (divisor, window, solo_words, least_words)
+    options = (divisor, solo_words, least_words)
     df = python_on(df).select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_lines", "n_removed")])
-    row, bucket = unused(df, "row", "bucket")
+    row, bucket, copies, copy = unused(df, "row", "bucket", "copies", "copy")
     buckets = max(1, -(-text_bytes(df, text_col) // bucket_bytes))
     hashed = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     of_row = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    docs = df.select("*", hashed.alias(row)).withColumn(bucket, of_row(F.col(row)))
+    docs = merge_equal(df, copies).select("*", hashed.alias(row)).withColumn(bucket, of_row(F.col(row)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +242,8 @@ def dedup_lines(
     repeats = (F.col("bh") == F.col("h")) & ~((F.col("bn") == 1) & (F.col("br") == F.col("first_row")) & (F.col("bk") == F.col("first_number")))
     sent = here.join(firsts, repeats).drop("bh", "bn", "br", "bk")  # not to a bucket that has the first occurrence alone
 
-    schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    names = df.columns
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType()) for c in (copies, "n_lines", "n_removed")]])
+    names = [*df.columns, copies]
     place = names.index(text_col)
 
     def rewrite(key: tuple[pa.Scalar, ...], part: pa.Table, got: pa.Table) -> pa.Table:
@@ -263,7 +262,8 @@ def dedup_lines(
         part = part.set_column(place, text_col, pa.array(texts, pa.string()))
         return part.append_column("n_lines", pa.array(n_lines, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
 
-    return grouped.cogroup(sent.groupBy("to")).applyInArrow(rewrite, schema)
+    out = grouped.cogroup(sent.groupBy("to")).applyInArrow(rewrite, schema)
+    return out.select("*", F.explode(F.sequence(F.lit(1), copies)).alias(copy)).drop(copies, copy)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

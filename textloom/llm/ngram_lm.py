@@ -18,6 +18,7 @@ shards add the messages up and answer each with the totals; a block builds the
 part of the automaton that its own texts can reach, and walks it. Training
 counts are combined per block before they are sent, so a frequent word costs a
 block one entry. All that a task holds is one block or one shard.
+Equal rows are merged and counted before they are shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, python_on, text_bytes
+from .common import id_text, merge_equal, python_on, text_bytes
 
 #: Text bytes that a block and a shard should hold.
 BLOCK_BYTES = 6 << 20
@@ -76,7 +77,7 @@ class Block:
     items: list[np.ndarray]
     order_of: np.ndarray
     at: np.ndarray  # a place where each item ends
-    train: np.ndarray  # of each place
+    train: np.ndarray  # how often each place is learnt from
 
 
 def read_block(texts: list[bytes], train: np.ndarray, order: int) -> Block:
@@ -122,7 +123,8 @@ def read_block(texts: list[bytes], train: np.ndarray, order: int) -> Block:
 def training_counts(block: Block) -> np.ndarray:
     out = np.zeros(len(block.keys), dtype=np.int64)
     for i in block.items:
-        out += np.bincount(i[(i >= 0) & block.train], minlength=len(out))
+        counted = (i >= 0) & (block.train > 0)
+        out += np.bincount(i[counted], weights=block.train[counted], minlength=len(out)).astype(np.int64)
     return out
 
 
@@ -253,12 +255,14 @@ def score_texts(
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = python_on(df).select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("t"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    merged = merge_equal(docs, "copies")
     blocks = max(1, -(-text_bytes(docs, "t") // block_bytes))
     shards = blocks
-    docs = docs.select("doc_id", F.col("t").cast("binary").alias("t"), "held_out", F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).alias("block"))
+    docs = merged.select("doc_id", F.col("t").cast("binary").alias("t"), "held_out", "copies", F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).alias("block"))
 
     def texts_of(part: pa.Table) -> tuple[list[bytes], np.ndarray]:
-        return part.column("t").to_pylist(), ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        learnt = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        return part.column("t").to_pylist(), np.where(learnt, part.column("copies").to_numpy(), 0)
 
     def send(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         block = read_block(*texts_of(part), order)
@@ -312,6 +316,7 @@ def score_texts(
             {
                 "doc_id": part.column("doc_id"),
                 "held_out": part.column("held_out"),
+                "copies": part.column("copies"),
                 "n_tokens": pa.array(block.lengths, pa.int64()),
                 "n_known": pa.array(np.bincount(text, weights=counts[word] > 0, minlength=size).astype(np.int64)),
                 "train_tokens": pa.array(np.full(size, n, dtype=np.int64)),
@@ -322,9 +327,10 @@ def score_texts(
 
     sent = docs.groupBy("block").applyInArrow(send, "block long, shard long, n_uni long, keys binary, counts binary")
     answered = sent.groupBy("shard").applyInArrow(add_up, "block long, shard long, answer binary, n long, v long")
-    return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
-        score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
+        score, f"doc_id {kind}, held_out boolean, copies long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return scored.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copies", "copy")
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

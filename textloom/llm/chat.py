@@ -38,6 +38,8 @@ _ESCAPED = re.compile(rf"(<)\\(\\*(?:{_ANGLE}))|(\[)\\(\\*(?:{_SQUARE}))")
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.DOTALL)
 #: Bytes from which a content is copied by itself, not by scatter indices.
 LONG = 1 << 16
+#: Bytes of turns that are assembled at once at most, unless one conversation has more.
+PORTION = 128 << 20
 LOSS_ROLE = "assistant"
 
 
@@ -81,8 +83,8 @@ def _scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, offsets: np.ndar
 def assemble(turns: pa.Table) -> pa.RecordBatch:
     """One row a conversation of sorted whole conversations: conv_id, n_turns, formatted, loss."""
     conv = turns.column("conv_id").combine_chunks()
-    roles = pc.fill_null(turns.column("role"), "").combine_chunks().cast(pa.large_string())
-    texts = _escaped(pc.fill_null(turns.column("text"), "").combine_chunks().cast(pa.large_string()))
+    roles, texts = (pc.fill_null(turns.column(c).cast(pa.large_string()), "").combine_chunks() for c in ("role", "text"))
+    texts = _escaped(texts)
     names = pc.replace_substring(pc.replace_substring(roles, "\\", "\\\\"), "\n", "\\n")
     large = [pa.scalar(x, pa.large_string()) for x in (START, "\n", "")]
     headers = pc.binary_join_element_wise(large[0], _escaped(names), large[1], large[2])
@@ -113,6 +115,20 @@ def assemble(turns: pa.Table) -> pa.RecordBatch:
     )
 
 
+def portions(turns: pa.Table) -> Iterator[pa.Table]:
+    """Whole conversations, some at a time, so that what is assembled at once stays far below the 2 GiB of a string column."""
+    first = _first_of(turns.column("conv_id").combine_chunks())
+    sizes = sum(pc.fill_null(pc.binary_length(turns.column(c)), 0).to_numpy().astype(np.int64) for c in ("role", "text"))
+    before = np.concatenate(([0], np.cumsum(sizes)))
+    edges = [*first.tolist(), turns.num_rows]
+    start = 0
+    for a, b in zip(edges, edges[1:]):
+        if before[b] - before[start] > PORTION and a > start:
+            yield turns.slice(start, a - start)
+            start = a
+    yield turns.slice(start)
+
+
 def _first_of(conv: pa.Array) -> np.ndarray:
     """Where each run of equal ids begins; nulls are equal."""
     same = pc.equal(conv[1:], conv[:-1])
@@ -128,7 +144,8 @@ def format_conversations(df: DataFrame) -> DataFrame:
     order of turn (null first), then role and text, so ties and repeated rows
     have one result; each row is a turn. Null texts and roles count as empty;
     rows without conv_id form one conversation. The loss is over the escaped
-    texts of assistant turns. An empty table gives an empty table.
+    texts of assistant turns. An empty table gives an empty table. A
+    conversation is one value, so it has to fit a task, and 2 GiB.
     """
     kind = df.schema["conv_id"].dataType.simpleString()
     turns = python_on(df).select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -143,11 +160,11 @@ def format_conversations(df: DataFrame) -> DataFrame:
             last = int(first[-1])
             if new or last:
                 whole = held + ([batch.slice(0, last)] if last else [])
-                yield assemble(pa.Table.from_batches(whole))
+                yield from map(assemble, portions(pa.Table.from_batches(whole)))
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield assemble(pa.Table.from_batches(held))
+            yield from map(assemble, portions(pa.Table.from_batches(held)))
 
     return turns.mapInArrow(run, f"conv_id {kind}, n_turns long, formatted string, loss array<struct<start:long,end:long>>")
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from textloom.llm import line_dedup, packing, queries, simhash
+from textloom.llm import packing, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,15 +52,3 @@ def test_pipeline(spark, tmp_path):
     encode = packing.encoder("byte_bpe_50k").encode
     assert sum(r.length for r in rows["pack"]) == sum(len(encode(r.text)) + 1 for r in rows["mix"])
     assert corpus_pipeline.run(spark, SF).count() == len(rows["pack"])
-
-
-def test_long_solo_lines_are_chunks():
-    lines = [b"a b", b"w " * 60, b"c d"]
-    assert (1, 2) in line_dedup.cut_lines(lines)
-
-
-def test_passages_of_two_lines_hold_a_chunk():
-    passage = [b"p " * 26, b"q " * 26]
-    for k in range(8):
-        lines = [b"before %d" % k, *passage, b"after %d" % k]
-        assert {(1, 2), (2, 3)} <= set(line_dedup.cut_lines(lines))

@@ -3,9 +3,12 @@
 import numpy as np
 import pytest
 
+from textloom.__main__ import main
 from textloom.config import Config
 from textloom.operators import embedding
 from textloom.plans.ingest import upload
+from textloom.session import shared_folder
+from textloom.sources.writers import read_collection
 
 
 def test_config_reads_the_environment():
@@ -45,3 +48,50 @@ def test_upload_keeps_order_and_errors(spark, tmp_path):
     rows = points.orderBy("chunk_no").collect()
     assert len(rows) == 4 and {r.source_file for r in rows} == {"b.txt"} and all(len(r.text) <= 2000 for r in rows)
     assert [r.error for r in errors.collect()] == ["Unsupported file type: .zip"]
+
+
+def test_upload_uses_its_settings_and_reads_csv(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n")
+    (tmp_path / "w.txt").write_text("word " * 50)
+    points, errors = upload(spark, [str(tmp_path / "w.txt"), str(tmp_path / "t.csv")], config=Config(chunk_size=40, chunk_overlap=10))
+    rows = points.orderBy("file_ordinal", "part", "chunk_no").collect()
+    assert errors.count() == 0 and [r.text for r in rows if r.file_ordinal == 1] == ["a: 1\nb: x", "a: 2\nb: y"]
+    assert len([r for r in rows if r.file_ordinal == 0]) > 6 and all(len(r.text) <= 40 for r in rows) and len({r.id for r in rows}) == len(rows)
+
+
+def test_command_line_stages_and_upserts(spark, tmp_path, capsys):
+    text = "1 Setup\n\n" + "some words about the set up of things. " * 20 + "\f2 Use\n\n" + "other words about the use of things. " * 20
+    (tmp_path / "guide.txt").write_text(text)
+    stage, collection = str(tmp_path / "stage"), str(tmp_path / "points")
+    assert main(["ingest", str(tmp_path / "guide.txt"), "--stage", stage, "--stage-only", "--with-sparse"], spark) == 0
+    assert "1 Setup" in capsys.readouterr().out and read_collection(spark, collection) is None
+    for _ in range(2):
+        assert main(["ingest", "--stage", stage, "--collection", collection, "--upsert-only"], spark) == 0
+        assert capsys.readouterr().out == "2 points\n"
+    rows = read_collection(spark, collection).orderBy("payload.page_start").collect()
+    assert [(r.payload.source_file, r.payload.page_start, r.payload.section_path) for r in rows] == [("guide.txt", 1, ["1 Setup"]), ("guide.txt", 2, ["2 Use"])]
+    assert all(abs(sum(x * x for x in r.dense) - 1) < 1e-6 for r in rows) and all(len(r.sparse.indices) == len(r.sparse["values"]) for r in rows)
+    (tmp_path / "new.txt").write_text("fresh words that replace it all. " * 20)
+    assert main(["ingest", str(tmp_path / "new.txt"), "--stage", stage, "--collection", collection, "--recreate"], spark) == 0
+    assert [(r.payload.source_file, r.sparse) for r in read_collection(spark, collection).collect()] == [("new.txt", None)]
+    (tmp_path / "x.zip").write_bytes(b"x")
+    assert main(["ingest", str(tmp_path / "x.zip"), "--stage", stage, "--stage-only"], spark) == 1
+    assert "Unsupported file type: .zip" in capsys.readouterr().err
+    for wrong in (["ingest", "--stage", stage], ["ingest", "--stage", stage, "--stage-only", "--upsert-only"]):
+        with pytest.raises(SystemExit):
+            main(wrong, spark)
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    session = type("Session", (), {"sparkContext": Context, "conf": type("C", (), {"get": staticmethod(lambda k, d: d)})})
+    with pytest.raises(RuntimeError):
+        shared_folder(session)
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")

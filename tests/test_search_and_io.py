@@ -1,13 +1,21 @@
 """Search and fusion against plain definitions, files, keyed updates and the answer stream."""
 
 import io
+import json
+import threading
 import zipfile
 import zlib
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from textloom.config import Config
+from textloom.functions.text import STREAM_FAILED
 from textloom.operators import search, sessions, tfidf
+from textloom.plans import retrieval
+from textloom.plans.ingest import blocks_of_lines
 from textloom.sources import readers, writers
 from textloom.streaming import answers as streams
 
@@ -21,8 +29,9 @@ def test_dense_hits_in_one_matrix_and_in_blocks(spark, monkeypatch):
     norm = lambda x: np.where((n := np.sqrt((x**2).sum(1))) > 0, n, 1)
     scores = np.round((q @ v.T) / norm(q)[:, None] / norm(v), 9)
     want = {(a, int(b), k + 1) for a in range(9) for k, b in enumerate(np.lexsort((np.arange(300), -scores[a]))[:7])}
-    for most in (2048, 4):
+    for most, strip in ((2048, 32768), (4, 50)):
         monkeypatch.setattr(search, "BROADCAST_QUERIES", most)
+        monkeypatch.setattr(search, "STRIP_ROWS", strip)
         assert {(r.query_id, r.doc_id, r.rank) for r in search.dense_hits(vectors, queries, 7).collect()} == want
 
 
@@ -50,15 +59,46 @@ def test_thresholds_and_confidence(spark):
     assert {tuple(r) for r in search.confidence(scored, asked).collect()} == {(1, 0.7, 2), (2, 0.0, 0)}
 
 
-def test_tfidf_drops_unknown_terms(spark):
-    docs = spark.createDataFrame([(1, "red fox runs"), (2, "red fox sleeps"), (3, "blue bird")], "doc_id long, text string")
-    counts = tfidf.term_counts(docs)
-    vocabulary = tfidf.fit(counts, 3)
-    assert [r.term for r in vocabulary.orderBy("term_id").collect()] == ["fox", "red", "red fox"]
-    asked = spark.createDataFrame([(1, "green dog")], "doc_id long, text string")
-    assert tfidf.weights(tfidf.term_counts(asked), vocabulary).count() == 0
-    lengths = tfidf.weights(counts, vocabulary).groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
-    assert all(abs(r.n - 1) < 1e-9 for r in lengths)
+def test_tfidf_drops_unknown_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox runs red"), (2, "red fox sleeps"), (3, "blue bird"), (4, None)], "doc_id long, text string")
+    rows = tfidf.document_terms(docs)
+    vocabulary = tfidf.fit(rows, 4)
+    assert [(r.term, r.df) for r in vocabulary.orderBy("term_id").collect()] == [("fox", 2), ("red", 2), ("red fox", 2)]
+    tfidf.save_model(vocabulary, str(tmp_path / "model"))
+    stored = tfidf.load_model(spark, str(tmp_path / "model"))
+    got = {r.doc_id: (r.indices, r["values"]) for r in tfidf.sparse_rows(rows, stored).collect()}
+    assert got[3] == got[4] == ([], []) and got[1][0] == [0, 1, 2] and got[1][1][1] == 2 * got[1][1][0]
+    assert all(abs(sum(x * x for x in got[i][1]) - 1) < 1e-9 for i in (1, 2))
+    with pytest.raises(ValueError):
+        tfidf.sparse_rows(rows, stored, max_features=2)
+    assert tfidf.sparse_rows(rows, stored.limit(0)).where("size(indices) > 0").count() == 0
+
+
+def test_sparse_hits_in_postings_and_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    make = lambda n, key: [(i, *(list(map(list, zip(*sorted((int(t), float(rng.integers(1, 4))) for t in rng.choice(30, rng.integers(0, 6), replace=False))))) or [[], []])) for i in range(n)]
+    docs, asked = make(300, "doc_id"), make(9, "query_id")
+    want = set()
+    for q, terms, weights in asked:
+        scores = [(-sum(w * dict(zip(terms, weights)).get(t, 0) for t, w in zip(ts, ws)), i) for i, ts, ws in docs if set(ts) & set(terms)]
+        want |= {(q, i, k + 1, -s) for k, (s, i) in enumerate(sorted(scores)[:7])}
+    frames = [spark.createDataFrame(rows, f"{key} long, indices array<int>, values array<double>") for rows, key in ((docs, "doc_id"), (asked, "query_id"))]
+    for most, strip, scores in ((2048, 32768, 1 << 20), (2048, 32768, 20), (4, 50, 1 << 20)):
+        for name, value in (("BROADCAST_QUERIES", most), ("STRIP_ROWS", strip), ("SCORES", scores)):
+            monkeypatch.setattr(search, name, value)
+        assert {(r.query_id, r.doc_id, r.rank, r.score) for r in search.sparse_hits(*frames, 7).collect()} == want
+    assert search.sparse_hits(frames[0], frames[1].limit(0)).count() == 0 and search.sparse_hits(frames[0].limit(0), frames[1]).count() == 0
+
+
+def test_retrieval_without_a_sparse_model_is_dense_and_filtered(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "doc_id long, vector array<float>")
+    asked = spark.createDataFrame([(1, "red", [1.0, 0.0])], "query_id long, text string, vector array<float>")
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red bird"), (3, "blue fox")], "doc_id long, text string")
+    config = Config(final=2, score_threshold=0.8)
+    found = lambda **x: [r.doc_id for r in retrieval.retrieve(None, vectors, asked, asked, config, **x).orderBy("rank").collect()]
+    assert found() == [3] and found(keep="at_least") == [1]
+    both = retrieval.retrieve(retrieval.sparse_model(docs, min_df=1), vectors, asked, asked, config).orderBy("rank").collect()
+    assert [r.doc_id for r in both] == [1, 2] and both[0].score > both[1].score
 
 
 def _zip(files):
@@ -83,9 +123,60 @@ def test_load_files(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     got = readers.load_files(spark, [str(tmp_path / n) for n in files]).orderBy("file_ordinal").collect()
     assert [r.page_content for r in got] == ["Hi\nthere", "n\t7", "Hello (PDF)\nsecond", "plain ü", None, None]
+    assert [r.part for r in got] == [0] * 6
     assert [bool(r.error) for r in got] == [False] * 4 + [True] * 2
 
 
+def test_files_are_numbered_by_their_whole_path(spark, tmp_path):
+    names = []
+    for folder, body in (("y", "why"), ("x", "ex")):
+        (tmp_path / folder).mkdir()
+        names.append(str(tmp_path / folder / "same.txt"))
+        (tmp_path / folder / "same.txt").write_text(body)
+    (tmp_path / "t b.csv").write_text('a,b\n1,"two\nlines"\n\n3\n')
+    (tmp_path / "empty.csv").write_text("a,b\n")
+    names += [str(tmp_path / "t b.csv"), names[0], str(tmp_path / "empty.csv")]
+    got = readers.load_files(spark, names).orderBy("file_ordinal", "part").collect()
+    assert [(r.file_ordinal, r.part, r.page_content) for r in got] == [(0, 0, "why"), (1, 0, "ex"), (2, 0, "a: 1\nb: two\nlines"), (2, 1, "a: 3\nb: "), (3, 0, "why"), (4, 0, None)]
+    assert got[-1].error == "no text"
+
+
+def test_page_lines_and_blocks(spark):
+    docs = spark.createDataFrame([("d", "1 Top  \r\n\r\nEEnnaabbllee\nit trans-\nfers\fnext page\n   \n\u00a0x \u00a0"), ("e", "\f\n")], "doc_id string, page_content string")
+    got = [(r.doc_id, r.block_no, r.page, r.text) for r in blocks_of_lines(readers.page_lines(docs)).orderBy("doc_id", "block_no").collect()]
+    assert got == [("d", 0, 1, "1 Top"), ("d", 1, 1, "Enable\nit transfers"), ("d", 2, 2, "next page"), ("d", 3, 2, "x")]
+
+
+def test_choose_text_of_repeated_strategies(spark):
+    rows = spark.createDataFrame([("p", "fast", "ab"), ("p", "fast", "abc"), ("p", "layout", "ab"), ("q", "fast", None)], "path string, strategy string, text string")
+    assert {tuple(r) for r in readers.choose_text(rows).collect()} == {("p", "abc", "fast", None), ("q", "", "fast", "no text")}
+
+
+def test_points_are_sent_in_batches(spark):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Store(BaseHTTPRequestHandler):
+        def do_PUT(self):
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"])))["points"])
+            self.send_response(500 if self.path == "/bad" else 200)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Store)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    points = spark.range(600).coalesce(1).select(F.col("id"), F.array(F.lit(0.5), F.lit(None)).alias("dense"), F.struct(F.create_map(F.lit("a"), F.lit(True)).alias("flags")).alias("payload"))
+    assert sorted(r.batch_rows for r in writers.send_points(points, lambda: writers.rest_client(f"{url}/ok")).collect()) == [88, 256, 256]
+    assert sorted(p["id"] for batch in got for p in batch) == list(range(600)) and got[0][0]["dense"] == [0.5, None]
+    with pytest.raises(Exception, match="500"):
+        writers.send_points(points, lambda: writers.rest_client(f"{url}/bad")).collect()
+    server.shutdown()
+
+
 def test_upsert_is_repeatable(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
@@ -95,10 +186,86 @@ def test_upsert_is_repeatable(spark):
     assert {tuple(r) for r in writers.insert_or_ignore(old, new, "k").collect()} == {(1, "a"), (2, "b"), (3, "d")}
 
 
+def test_upsert_of_nested_rows_keeps_the_latest(spark):
+    rows = lambda *xs: spark.createDataFrame([(k, {v: True}, [1.0], n) for k, v, n in xs], "k long, flags map<string,boolean>, dense array<float>, n int")
+    old, new = rows((1, "a", 0), (2, "b", 0), (None, "x", 0)), rows((2, "z", 1), (2, "c", 3), (2, "y", 2), (3, "d", 0))
+    got = {(r.k, *r.flags) for r in writers.upsert(old, new, "k", F.col("n")).collect()}
+    assert got == {(1, "a"), (2, "c"), (3, "d"), (None, "x")}
+    assert {(r.k, *r.flags) for r in writers.insert_or_ignore(old, new, "k").collect()} == {(1, "a"), (2, "b"), (3, "d"), (None, "x")}
+
+
+def _events(spark):
+    turns = spark.createDataFrame([(i, 1, "assistant", " ".join(f'w"{j}' for j in range(i))) for i in range(1, 20)], "conv_id long, turn long, role string, text string")
+    events = sessions.answer_events(sessions.turn_answers(turns))
+    bad = F.col("query_id").isin("3-1", "7-1", "11-1")
+    failed = events.where(bad & (F.col("seq") == 0)).select("query_id", F.lit(2).alias("seq"), F.lit("error").alias("event"), F.lit("oops").alias("data"))
+    return events.where(~bad | (F.col("seq") < 2)).unionByName(failed)
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    turns = spark.createDataFrame([(i, 1, "assistant", " ".join(f"w{j}" for j in range(i))) for i in range(1, 20)], "conv_id long, turn long, role string, text string")
-    events = sessions.answer_events(turns)
-    events.repartition(6).write.parquet(str(tmp_path / "events"))
+    events = _events(spark)
+    events.unionByName(events.where("event = 'token'")).repartition(6).write.parquet(str(tmp_path / "events"))  # tokens come twice
     streams.run_available(streams.fold_stream(streams.read_events(spark, str(tmp_path / "events"), 1)), str(tmp_path / "out"), str(tmp_path / "state"))
-    batch = {(r.query_id, r.content, r.num_sources) for r in sessions.fold_answers(events).collect()}
+    batch = {tuple(r) for r in sessions.fold_answers(events).collect()}
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == batch
+    assert {(r.query_id, r.content) for r in sessions.fold_answers(events).where("error").collect()} == {(f"{i}-1", STREAM_FAILED) for i in (3, 7, 11)}
+
+
+def test_frames_and_defaults(spark):
+    rows = [("a", 0, "sources", "not json"), ("a", 1, "token", '{"token":"x "}'), ("a", 2, "token", '{"token":"y"}'), ("b", 0, "sources", '{"sources":[{"page_content":"p"}],"num_sources":1,"confidence_score":0.25}')]
+    events = spark.createDataFrame(rows, "query_id string, seq int, event string, data string")
+    a, b = sessions.fold_answers(events).orderBy("query_id").collect()
+    assert (a.content, a.sources, a.num_sources, a.confidence, a.ended, a.error) == ("x y", "[]", 0, None, False, False)
+    assert (b.content, b.sources, b.num_sources, b.confidence) == ("", '[{"page_content":"p"}]', 1, 0.25)
+    assert writers.server_events(events).where("seq = 2").first().frame == 'event: token\ndata: {"token":"y"}\n\n'
+
+
+class State:
+    """What gather needs of a group's state."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_answers_that_stop_are_given_up():
+    part = lambda *rows: iter([pd.DataFrame(rows, columns=["seq", "event", "data"])])
+    state = State()
+    assert not list(streams.gather(("q",), part((0, "sources", "{}"), (2, "end", "{}")), state, 500)) and state.timeout == 500
+    state.hasTimedOut = True
+    (row,) = streams.gather(("q",), iter([]), state, 500)
+    assert [e["seq"] for e in row["events"][0]] == [0, 2] and not state.exists
+    state = State()
+    assert len(list(streams.gather(("q",), part((0, "error", "x")), state, 500))) == 1
+    assert not list(streams.gather(("q",), part((1, "token", "x"), (0, "error", "x")), state, 500))  # late events
+    state.hasTimedOut = True
+    assert not list(streams.gather(("q",), iter([]), state, 500)) and not state.exists
+
+
+def test_report_numbers_keep_reports_without_a_time(spark):
+    rows = spark.sql("select * from values (1, timestamp'2024-01-02 10:00:00'), (2, null), (3, timestamp'2024-01-01 00:00:00'), (4, null) as t(k, at)")
+    assert {r.k: r.report_no for r in sessions.report_numbers(rows, "at", "k").collect()} == {2: 1, 4: 2, 3: 3, 1: 4}
+
+
+def test_report_states(spark):
+    cases = {"idle": "fail ok fail", "sending": "report report", "error": "report fail ok", "done": "report fail report report ok report fail"}
+    rows = [(k, i, a) for k, acts in cases.items() for i, a in enumerate(acts.split())] + [("none", 0, "other")]
+    got = sessions.report_states(spark.createDataFrame(rows, "k string, at int, act string"), "k", "act", "at", "at").collect()
+    assert {(r.k, r.state, r.sent) for r in got} == {("idle", "idle", 0), ("sending", "sending", 1), ("error", "error", 1), ("done", "done", 2), ("none", "idle", 0)}
+
+
+def test_sessions_fall_back_to_the_newest(spark):
+    chats = spark.createDataFrame([(1,), (4,), (9,)], "conv_id long")
+    assert [sessions.active_session(chats, *x).first().active for x in ((4, 1), (4, 4), (9, 9))] == [4, 9, 4]
+    assert sessions.active_session(chats.where("conv_id = 1"), 1, 1).first().active is None

@@ -9,10 +9,10 @@ from .text import strip
 
 # Patterns that decide on structure, for stripped lines unless noted.
 NUMBERED = r"(?U)^\d+(\.\d+){0,3}\s+\S"
-ALL_CAPS = r"^[A-Z0-9 _/-]{3,}$"
+ALL_CAPS = r"^[A-Z0-9 \-_/]{3,}$"
 TITLE_LIKE = r"^[A-Z][^.!?]{2,120}$"
-BULLET = r"(?U)^\s*([•\-*◦·]|\d+[.)])\s+"
-PROCEDURE = r"(?iU)\b(procedure|steps|step|to (configure|set up|enable|create))\b"
+BULLET = r"(?U)^\s*([•\-\*\u2022\u25E6\u00B7]|\d+[\.\)])\s+"
+PROCEDURE = r"(?iU)\b(Procedure|Steps|Step|To (configure|set up|enable|create))\b"
 COLUMNS = r"(?U)\s{2,}|\t"
 LONGEST_HEADING = 140
 

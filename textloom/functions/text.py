@@ -8,6 +8,7 @@ digits of all languages count.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ AROUND_NEWLINE = r"[ \t]*\n[ \t]*"
 OUTER_SPACE = r"(?U)^\s+|\s+$"
 LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 THINK = r"<think>([\s\S]*?)</think>"
+# Texts that users see.
+GREETING = ("Hello, ", "! How can I assist you today?")
+CARD_TITLE = "🚨 Incorrect Answer Reported"
+CARD = ("👤 **User:** ", "\n\n❓ **Question:**\n```\n", "\n```\n\n💬 **Answer:**\n```\n", "\n```\n\n📊 **Report Count:** ")
+STREAM_FAILED = "Sorry, an error occurred while streaming. Please try again."
 UNDOUBLE_SHARE = 0.35
 UNDOUBLE_LEAST = 6
 
@@ -108,7 +114,7 @@ def display_name(name: Column, default: str = "User") -> Column:
 
 
 def greeting(name: Column) -> Column:
-    return F.concat(F.lit("Hello "), display_name(name), F.lit("!"))
+    return F.concat(F.lit(GREETING[0]), display_name(name), F.lit(GREETING[1]))
 
 
 def initial(name: Column) -> Column:
@@ -146,7 +152,10 @@ def prompt(system: Column, context: Column, question: Column) -> Column:
 
 
 def report_card(username: Column, question: Column, answer: Column, count: Column) -> Column:
-    return F.concat(F.lit("Report #"), count.cast("string"), F.lit("\nUser: "), display_name(username, "anonymous"), F.lit("\nQuestion: "), question, F.lit("\nAnswer: "), answer)
+    """(title, text) of the message about an answer that a user reports."""
+    said = zip(CARD, (display_name(username, "anonymous"), question, answer, count.cast("string")))
+    parts = [x for label, value in said for x in (F.lit(label), value)]
+    return F.struct(F.lit(CARD_TITLE).alias("title"), F.concat(*parts).alias("text"))
 
 
 def seconds(ms: Column) -> Column:
@@ -192,7 +201,13 @@ def split_recursively(text: str, size: int = 2000, overlap: int = 300, separator
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def character_chunks(texts: pd.Series) -> pd.Series:
-    """split_recursively with its default sizes."""
-    return texts.map(lambda s: [] if s is None else split_recursively(s))
+def character_chunks(size: int = 2000, overlap: int = 300) -> Callable[[Column | str], Column]:
+    """split_recursively with these sizes, for a text column."""
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than size")
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: [] if s is None else split_recursively(s, size, overlap))
+
+    return split

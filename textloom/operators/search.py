@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,11 @@ DIGITS = 9
 RRF_K = 60
 MISSING_RANK = 1_000_000_000
 PREFETCH, FINAL = 50, 5
-#: Queries that are sent to all executors at most; more are searched in blocks.
-BROADCAST_QUERIES = 2048
+#: Queries that are sent to all executors at most, and entries of sparse ones; more are searched in blocks, over strips of so many documents.
+BROADCAST_QUERIES, BROADCAST_POSTINGS = 2048, 1 << 21
+STRIP_ROWS = 32768
+#: Scores that are held at a time.
+SCORES = 1 << 20
 
 
 def top_k(hits: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -41,12 +45,9 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int = PREFETCH) -> Dat
 
     Up to BROADCAST_QUERIES queries go to the executors as one matrix, after
     their number has been checked; each batch of vectors keeps its k best. More
-    queries are dealt into blocks, which are joined with the vectors by block.
+    queries are dealt into blocks, and vectors into strips, and searched block
+    by strip.
     """
-    ship(vectors.sparkSession)
-    n = queries.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
-    out_schema = "query_id long, doc_id long, score double"
 
     def search(ids: np.ndarray, q: np.ndarray, doc_ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -55,17 +56,13 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int = PREFETCH) -> Dat
             for j in range(v.shape[1]):
                 scores += q[at : at + 64, j][:, None] * v[:, j]
             scores = np.round(scores / (_norms(q[at : at + 64])[:, None] * _norms(v)), DIGITS)
-            if len(v) > k:
-                least = np.partition(scores, len(v) - k, axis=1)[:, len(v) - k]
-                a, b = np.nonzero(scores >= least[:, None])  # ties stay until ids decide
-            else:
-                a, b = np.indices(scores.shape).reshape(2, -1)
-            rows.append((ids[at + a], doc_ids[b], scores[a, b]))
-        columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
+            rows.append(_k_best(scores, ids[at : at + 64], doc_ids, k))
+        return _hits(rows)
 
+    ship(vectors.sparkSession)
     given = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("q_vector"))
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
     if blocks == 1:
         got = asked.collect()
         ids = np.array([r["query_id"] for r in got], dtype=np.int64)
@@ -76,20 +73,38 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int = PREFETCH) -> Dat
                 if batch.num_rows and len(ids):
                     yield search(ids, q, batch.column(0).to_numpy(), _matrix(batch.column(1)))
 
-        return top_k(given.mapInArrow(run, out_schema), k)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    dealt = given.withColumn("v_strip", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return top_k(given.mapInArrow(run, HITS), k)
+    pair = lambda left, right: search(left.column("query_id").to_numpy(), _matrix(left.column("q_vector").combine_chunks()), right.column("doc_id").to_numpy(), _matrix(right.column("vector").combine_chunks()))
+    return top_k(_block_by_strip(asked, given, blocks, pair), k)
+
+
+HITS = "query_id long, doc_id long, score double"
+
+
+def _block_by_strip(asked: DataFrame, given: DataFrame, blocks: int, pair: Callable[[pa.Table, pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Hits of all queries in all documents: each block of queries meets each strip of STRIP_ROWS documents, by hash of their ids."""
+    strips = max(1, -(-given.count() // STRIP_ROWS))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("block", number("query_id", blocks)).withColumn("strip", each(strips))
+    right = given.withColumn("strip", number("doc_id", strips)).withColumn("block", each(blocks))
+
+    def run(key: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([pair(a, b) if a.num_rows and b.num_rows else _hits([])])
+
+    return left.groupBy("block", "strip").cogroup(right.groupBy("block", "strip")).applyInArrow(run, HITS)
 
-    def both(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        found = search(
-            left.column("query_id").to_numpy(), _matrix(left.column("q_vector").combine_chunks()), right.column("doc_id").to_numpy(), _matrix(right.column("vector").combine_chunks())
-        )
-        return pa.Table.from_batches([found])
 
-    return top_k(asked.groupBy("block", "strip").cogroup(dealt.groupBy("v_block", "v_strip")).applyInArrow(both, out_schema), k)
+def _k_best(scores: np.ndarray, ids: np.ndarray, doc_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, document ids, scores) of each row's k best; ties stay until ids decide. Scores of -inf are no hits."""
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    a, b = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    return ids[a], doc_ids[b], scores[a, b]
+
+
+def _hits(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -103,12 +118,67 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.where(out > 0, np.sqrt(out), 1.0)
 
 
-def sparse_hits(doc_weights: DataFrame, query_weights: DataFrame, k: int = PREFETCH) -> DataFrame:
-    """(query_id, doc_id, score, rank): sums over shared terms; documents without a shared term are no hits."""
-    q = query_weights.select("query_id", "term_id", F.col("weight").alias("qw"))
-    joined = doc_weights.join(q, "term_id")
-    sums = joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), DIGITS).alias("score"))
-    return top_k(sums, k)
+class _Postings:
+    """Queries by term: for each term of one of them, which ask for it and how much."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.ids = ids
+        order = np.argsort(terms, kind="stable")
+        self.terms, first = np.unique(terms[order], return_index=True)
+        self.first = np.append(first, len(terms))
+        self.query, self.weight = np.repeat(np.arange(len(ids)), lengths)[order], weights[order]
+
+    def hits(self, doc_ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> pa.RecordBatch:
+        """The k best documents of each query; those without a shared term are no hits."""
+        rows, ends = [], np.cumsum(lengths)
+        step = max(1, SCORES // max(1, len(self.ids)))
+        for at in range(0, len(doc_ids) if len(self.terms) else 0, step):
+            n = min(step, len(doc_ids) - at)
+            part = slice(ends[at] - lengths[at], ends[at + n - 1])
+            doc = np.repeat(np.arange(n), lengths[at : at + n])
+            place = np.minimum(np.searchsorted(self.terms, terms[part]), len(self.terms) - 1)
+            known = np.flatnonzero(self.terms[place] == terms[part])
+            place, doc, w = place[known], doc[known], weights[part][known]
+            many = self.first[place + 1] - self.first[place]
+            posting = np.repeat(self.first[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            cell = self.query[posting] * n + np.repeat(doc, many)
+            size = len(self.ids) * n
+            scores = np.bincount(cell, weights=np.repeat(w, many) * self.weight[posting], minlength=size)
+            met = np.bincount(cell, minlength=size) > 0
+            rows.append(_k_best(np.where(met, np.round(scores, DIGITS), -np.inf).reshape(len(self.ids), n), self.ids, doc_ids[at : at + n], k))
+        return _hits(rows)
+
+
+def _csr(table: pa.Table | pa.RecordBatch, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, lengths, terms and weights of sparse rows."""
+    column = lambda c: x.combine_chunks() if isinstance(x := table.column(c), pa.ChunkedArray) else x
+    indices = column("indices")
+    return column(key).to_numpy(), pc.list_value_length(indices).to_numpy().astype(np.int64), indices.flatten().to_numpy(), column("values").flatten().to_numpy()
+
+
+def sparse_hits(doc_rows: DataFrame, query_rows: DataFrame, k: int = PREFETCH) -> DataFrame:
+    """(query_id, doc_id, score, rank) of sparse rows (doc_id or query_id, indices, values): sums over shared terms, top k; documents without a shared term are no hits.
+
+    Documents stay whole rows. Queries go to the executors as postings by term,
+    up to BROADCAST_QUERIES queries and BROADCAST_POSTINGS entries, which are
+    counted first; each batch of documents keeps its k best. More queries are
+    dealt into blocks.
+    """
+    ship(doc_rows.sparkSession)
+    given = doc_rows.select(F.col("doc_id").cast("long").alias("doc_id"), "indices", "values").where(F.size("indices") > 0)
+    asked = query_rows.select(F.col("query_id").cast("long").alias("query_id"), "indices", "values").where(F.size("indices") > 0)
+    n, entries = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("indices")), F.lit(0))).first()
+    blocks = max(1, -(-n // BROADCAST_QUERIES), -(-entries // BROADCAST_POSTINGS))
+    if blocks == 1:
+        postings = _Postings(*_csr(asked.toArrow(), "query_id"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield postings.hits(*_csr(batch, "doc_id"), k)
+
+        return top_k(given.mapInArrow(run, HITS), k)
+    return top_k(_block_by_strip(asked, given, blocks, lambda a, b: _Postings(*_csr(a, "query_id")).hits(*_csr(b, "doc_id"), k)), k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = FINAL, rrf_k: int = RRF_K) -> DataFrame:

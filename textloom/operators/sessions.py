@@ -23,7 +23,7 @@ def seed_if_empty(table: DataFrame, seed: DataFrame) -> DataFrame:
 
 
 def report_numbers(reports: DataFrame, at: str, key: str, days: Column | None = None) -> DataFrame:
-    """The running number that each report saw.
+    """The running number that each report saw; reports without a time come first.
 
     Days are counted first, so that each day's rows are numbered in a partition
     of their own and only the small table of days is summed up in one.
@@ -34,14 +34,33 @@ def report_numbers(reports: DataFrame, at: str, key: str, days: Column | None =
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__day", before.alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__day").orderBy(at, key))
-    return dated.join(offsets, "__day").withColumn("report_no", (F.col("__before") + rank).cast("long")).drop("__day", "__before")
+    offsets = offsets.withColumnRenamed("__day", "__of")
+    numbered = dated.withColumn("__rank", rank).join(offsets, F.col("__day").eqNullSafe(F.col("__of")))
+    return numbered.select(*[f"`{c}`" for c in reports.columns if c != "report_no"], (F.col("__before") + F.col("__rank")).cast("long").alias("report_no"))
 
 
-def titles(messages: DataFrame) -> DataFrame:
-    """(conv_id, title): first line of the first user message that isn't blank, else New Chat."""
+def titles(messages: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """(conv_id, title): first line of the first user message that isn't blank, else New Chat.
+
+    present: (conv_id, title) as they stand; only a title that is missing, empty,
+    New Chat or begins with Untitled is replaced, and only by a user's message.
+    """
     said = (F.col("role") == "user") & (text.strip(F.col("text")) != "")
     first = F.min_by(F.when(said, F.col("text")), F.when(said, F.col("turn")))
-    return messages.groupBy("conv_id").agg(F.coalesce(text.title_of(first), F.lit("New Chat")).alias("title"))
+    found = messages.groupBy("conv_id").agg(text.title_of(first).alias("found"))
+    if present is None:
+        return found.select("conv_id", F.coalesce("found", F.lit("New Chat")).alias("title"))
+    now = F.col("title")
+    unset = now.isNull() | now.isin("", "New Chat") | now.startswith("Untitled")
+    both = found.join(present.select(F.col("conv_id"), "title"), "conv_id", "left")
+    return both.select("conv_id", F.when(unset & F.col("found").isNotNull(), F.col("found")).otherwise(now).alias("title"))
+
+
+def active_session(chats: DataFrame, wanted: int, removed: int, order: str = "conv_id") -> DataFrame:
+    """(active): the wanted chat if it is left once ``removed`` is gone, else the newest, else null."""
+    left = F.col("conv_id") != removed
+    at = F.when(left & (F.col("conv_id") == wanted), F.col("conv_id"))
+    return chats.agg(F.coalesce(F.max(at), F.max_by(F.when(left, F.col("conv_id")), F.when(left, F.col(order)))).alias("active"))
 
 
 def reportable(messages: DataFrame) -> DataFrame:
@@ -51,27 +70,58 @@ def reportable(messages: DataFrame) -> DataFrame:
     return messages.withColumn("eligible", (F.col("role") == "assistant") & asked)
 
 
-def answer_events(messages: DataFrame) -> DataFrame:
-    """(query_id, seq, event, data): for each assistant turn its sources, a token for each word, and an end."""
-    turns = messages.where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.split(F.coalesce("text", F.lit("")), " ").alias("ws"))
-    n = F.size("ws")
-    tokens = F.transform(F.col("ws"), lambda w, i: F.struct((i + 1).alias("seq"), F.lit("token").alias("event"), F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w).alias("data")))
-    first = F.struct(F.lit(0).alias("seq"), F.lit("sources").alias("event"), n.cast("string").alias("data"))
-    last = F.struct((n + 1).alias("seq"), F.lit("end").alias("event"), F.lit("").alias("data"))
-    return turns.select("query_id", F.explode(F.concat(F.array(first), tokens, F.array(last))).alias("e")).select("query_id", "e.*")
+def turn_answers(messages: DataFrame) -> DataFrame:
+    """Assistant turns as answers for answer_events, without sources: query_id is conversation and turn."""
+    none = F.array().cast("array<struct<page_content:string,metadata:map<string,string>>>")
+    return messages.where("role = 'assistant'").select(
+        F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.coalesce("text", F.lit("")).alias("answer"), none.alias("sources"),
+        F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("num_sources"), F.lit(0.0).alias("retrieval_ms"), F.lit(0.0).alias("total_ms"),
+    )
 
 
-def fold_answers(events: DataFrame) -> DataFrame:
-    """One row a query: the tokens in order, its sources, whether it ended; an error replaces the text."""
-    token = F.when(F.col("event") == "token", F.struct("seq", "data"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(token)), lambda t: t["data"]), "")
-    failed = F.max((F.col("event") == "error").cast("int")) == 1
-    return events.groupBy("query_id").agg(
-        F.when(failed, F.lit("Sorry, something went wrong.")).otherwise(joined).alias("content"),
-        F.coalesce(F.max_by(F.when(F.col("event") == "sources", F.col("data")), F.when(F.col("event") == "sources", F.col("seq"))), F.lit("0")).cast("long").alias("num_sources"),
-        (F.max((F.col("event") == "end").cast("int")) == 1).alias("ended"),
+def answer_events(answers: DataFrame) -> DataFrame:
+    """(query_id, seq, event, data): for each answer its sources, a token for each word, and an end; data is JSON.
+
+    answers: query_id, answer, sources, confidence, num_sources, retrieval_ms, total_ms.
+    """
+    ws = F.split("answer", " ")
+    event = lambda seq, name, **data: F.struct(seq.alias("seq"), F.lit(name).alias("event"), F.to_json(F.struct(*[v.alias(k) for k, v in data.items()])).alias("data"))
+    ms = lambda x: F.bround(x, 2)
+    c = F.col
+    first = event(F.lit(0), "sources", sources=c("sources"), confidence_score=F.bround("confidence", 4), retrieval_time_ms=ms(c("retrieval_ms")), num_sources=c("num_sources"))
+    tokens = F.transform(ws, lambda w, i: event(i + 1, "token", token=F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w)))
+    last = event(F.size(ws) + 1, "end", total_time_ms=ms(c("total_ms")), thought_time_ms=ms(c("total_ms") - c("retrieval_ms")))
+    return answers.select("query_id", F.inline(F.concat(F.array(first), tokens, F.array(last))))
+
+
+def folded(events: Column) -> list[Column]:
+    """The message that an answer's events (array of seq, event, data) make.
+
+    Tokens in order of seq, once each; sources with defaults where there are none
+    or they can't be read; timings of the end; an error replaces the text.
+    """
+    ordered = F.array_sort(F.array_distinct(events))
+    of = lambda name: F.filter(ordered, lambda e: e["event"] == name)
+    value = lambda name, key: F.get_json_object(F.get(of(name), F.lit(0))["data"], f"$.{key}")
+    failed = F.size(of("error")) > 0
+    text_ = F.array_join(F.transform(of("token"), lambda e: F.get_json_object(e["data"], "$.token")), "")
+    number = lambda name, key, kind: value(name, key).try_cast(kind)
+    return [
+        F.when(failed, F.lit(text.STREAM_FAILED)).otherwise(text_).alias("content"),
+        F.coalesce(value("sources", "sources"), F.lit("[]")).alias("sources"),
+        F.coalesce(number("sources", "num_sources", "long"), F.lit(0)).alias("num_sources"),
+        number("sources", "confidence_score", "double").alias("confidence"),
+        number("sources", "retrieval_time_ms", "double").alias("retrieval_time_ms"),
+        number("end", "total_time_ms", "double").alias("total_time_ms"),
+        number("end", "thought_time_ms", "double").alias("thought_time_ms"),
+        (F.size(of("end")) > 0).alias("ended"),
         failed.alias("error"),
-    )
+    ]
+
+
+def fold_answers(events: DataFrame) -> DataFrame:
+    """One row a query: see folded."""
+    return events.groupBy("query_id").agg(F.collect_list(F.struct("seq", "event", "data")).alias("events")).select("query_id", *folded(F.col("events")))
 
 
 def timings(events: DataFrame) -> DataFrame:
@@ -81,6 +131,24 @@ def timings(events: DataFrame) -> DataFrame:
     return events.select("session", total.alias("total_ms"), retrieval.alias("retrieval_ms"), (total - retrieval).alias("thought_ms"), text.seconds(total).alias("elapsed_s"))
 
 
-def last_state(events: DataFrame, key: str, state: str, at: str, tie: str) -> DataFrame:
-    """The latest state of each key, and how many changes it saw."""
-    return events.groupBy(key).agg(F.max_by(state, F.struct(at, tie)).alias("state"), F.count("*").alias("n_events"))
+def report_states(events: DataFrame, key: str, action: str, at: str, tie: str) -> DataFrame:
+    """(key, state, sent): state of each key's report and how often it was sent, from its actions report, ok and fail in order.
+
+    A report starts as idle. ``report`` sends it, but not while it is sending or
+    once it is done; ``ok`` and ``fail`` end a sending as done or error, and are
+    nothing otherwise. So a key is done with the first ok after which nothing
+    but a report was the last to matter; windows find it, and no loop is needed.
+    """
+    along = Window.partitionBy(key).orderBy(at, tie)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    c = F.col(action)
+    seen = events.where(c.isin("report", "ok", "fail")).select(key, at, tie, action, F.last(F.when(c != "ok", c), ignorenulls=True).over(before).alias("__before"))
+    done = (c == "ok") & (F.col("__before") == "report")
+    seen = seen.withColumn("__done", F.max(F.coalesce(done, F.lit(False)).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    live = seen.withColumn("__over", F.lag("__done", 1, 0).over(along)).where("__over = 0")
+    sends = (c == "report") & F.coalesce(F.col("__before") != "report", F.lit(True))
+    ended = live.groupBy(key).agg(
+        F.max("__done").alias("done"), F.max_by(F.when(c != "ok", c), F.when(c != "ok", F.struct(at, tie))).alias("last"), F.count_if(sends).alias("sent")
+    )
+    state = F.when(F.col("done") == 1, "done").when(F.col("last") == "report", "sending").when((F.col("last") == "fail") & (F.col("sent") > 0), "error").otherwise("idle")
+    return events.select(key).distinct().join(ended, key, "left").select(key, state.alias("state"), F.coalesce("sent", F.lit(0)).alias("sent"))

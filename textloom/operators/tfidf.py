@@ -1,8 +1,16 @@
-"""TF-IDF over words and pairs of words, in long form (doc_id, term, weight)."""
+"""TF-IDF over words and pairs of words: a vocabulary table, and one sparse row a document.
+
+Terms are counted inside the row, so fitting shuffles terms alone, combined
+before they move, and weighing shuffles nothing: the vocabulary, which
+``max_features`` bounds, goes to the executors as a lookup table, and each row
+becomes its vector where it is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"(?U)\b\w\w+\b"
@@ -15,21 +23,23 @@ def terms(words: Column) -> Column:
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf) of lower-cased words of two characters or more, and pairs of them."""
+def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, terms): lower-cased words of two characters or more, and pairs of them. Null text has none."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(WORD), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("ws")).select("doc_id", F.explode(terms(F.col("ws"))).alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return docs.select(F.col(id_col).alias("doc_id"), words.alias("ws")).select("doc_id", terms(F.col("ws")).alias("terms"))
 
 
-def fit(counts: DataFrame, n_docs: int, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES) -> DataFrame:
-    """Vocabulary (term, term_id, df, idf): terms in enough and not too many documents, the most frequent ones, in alphabetical order.
+def fit(rows: DataFrame, n_docs: int, min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int = MAX_FEATURES) -> DataFrame:
+    """Vocabulary (term, term_id, df, idf) of rows (doc_id, terms): terms in enough and not too many documents, the most frequent ones, in alphabetical order.
 
-    Ranks come after the cut to ``max_features`` rows, so the one-partition
-    windows see a bounded table. Fewer than min_df / max_df documents have no
-    vocabulary.
+    Equal terms of a row are neighbours once they are sorted, so each row says
+    which of its terms are the first of their kind. Ranks come after the cut to
+    ``max_features`` rows, so the one-partition windows see a bounded table.
+    Fewer than min_df / max_df documents have no vocabulary.
     """
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    ordered = rows.select(F.sort_array("terms").alias("ts"))
+    flagged = F.transform("ts", lambda t, i: F.struct(t.alias("term"), F.coalesce(t != F.get("ts", i - 1), F.lit(True)).cast("int").alias("first")))
+    stats = ordered.select(F.inline(flagged)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("total"))
     stats = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
     kept = stats.orderBy(F.desc("total"), "term").limit(max_features)
     ids = F.row_number().over(Window.orderBy("term")) - 1
@@ -37,14 +47,34 @@ def fit(counts: DataFrame, n_docs: int, min_df: int = MIN_DF, max_df: float = MA
     return kept.select("term", ids.alias("term_id"), "df", idf.alias("idf"))
 
 
-def weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc_id, term_id, weight): tf idf with rows of length one. Unknown terms drop out."""
-    raw = counts.join(vocabulary, "term").select("doc_id", "term_id", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return raw.select("doc_id", "term_id", (F.col("w") / norm).alias("weight"))
+def sparse_rows(rows: DataFrame, vocabulary: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(doc_id, indices, values) of rows (doc_id, terms): tf idf of length one, in order of term id.
+
+    Unknown terms drop out; a row without known terms has empty arrays. The
+    vocabulary is counted before it is sent.
+    """
+    n = vocabulary.count()
+    if n > max_features:
+        raise ValueError(f"a vocabulary of {n} terms is larger than max_features")
+    known = sorted(vocabulary.select("term_id", "term", "idf").collect())
+    if not known:
+        return rows.select("doc_id", F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
+    counted = CountVectorizerModel.from_vocabulary([r["term"] for r in known], inputCol="terms", outputCol="tf").transform(rows)
+    weighed = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="tf", outputCol="tfidf").transform(counted)
+    unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="unit").transform(weighed).select("doc_id", F.unwrap_udt("unit").alias("v"))
+    return unit.select("doc_id", F.col("v.indices").alias("indices"), F.col("v.values").alias("values"))
+
+
+def long_form(sparse: DataFrame) -> DataFrame:
+    """(doc_id, term_id, weight) of sparse rows."""
+    return sparse.select("doc_id", F.inline(F.arrays_zip(F.col("indices").alias("term_id"), F.col("values").alias("weight"))))
+
+
+def save_model(vocabulary: DataFrame, path: str) -> None:
+    """Write a vocabulary, as (term, term_id, df, idf)."""
+    vocabulary.coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def sparse_rows(weighted: DataFrame) -> DataFrame:
-    """One row a document: indices and values in order of term id."""
-    pairs = F.sort_array(F.collect_list(F.struct("term_id", "weight")))
-    return weighted.groupBy("doc_id").agg(pairs.alias("p")).select("doc_id", F.col("p.term_id").alias("indices"), F.col("p.weight").alias("values"))
+def load_model(spark: SparkSession, path: str) -> DataFrame:
+    """A stored vocabulary; texts are weighed with it as they come, without the corpus."""
+    return spark.read.schema("term string, term_id int, df long, idf double").parquet(path)

@@ -1,43 +1,87 @@
-"""Ingest plans: blocks to points with dense and sparse vectors, and uploaded files to dense points."""
+"""Ingest plans: files to blocks, chunks, a stage, and points in a collection; uploads to dense points."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text
 from ..operators import chunking, embedding, tfidf
-from ..session import cut
+from ..session import cut, exists, remove
 from ..sources import readers, writers
 
+MakeEncoder = Callable[[], embedding.Encoder]
 
-def ingest(blocks: DataFrame, stage: str, make_encoder: Callable[[], embedding.Encoder] | None = None, config: Config = Config()) -> DataFrame:
-    """Chunk, embed and weigh blocks; chunks are staged at a path first, and points (id, payload, dense, sparse) read from there.
 
-    A job that starts again from the stage skips the chunking.
-    """
-    spark = blocks.sparkSession
-    writers.save_stage(chunking.chunk(blocks, config.window_tokens, config.window_overlap, config.procedure_tokens, config.least_tokens), stage)
-    return points_of_stage(spark, stage, make_encoder, config)
+def blocks_of_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, block_no, text, page) of lines (doc_id, page, line_no, line): paragraphs between blank lines, never over pages, normalised; those that are empty then go."""
+    paras = chunking.paragraphs_of_lines(lines).withColumn("text", text.normalise(F.col("text"))).where(F.length("text") > 0)
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "first_line")) - 1
+    return paras.select("doc_id", number.alias("block_no"), "text", "page")
+
+
+def file_blocks(files: DataFrame) -> DataFrame:
+    """Blocks of loaded files (see load_files), with source_file. doc_id is the path and part of a document."""
+    read = files.where("error is null").select(F.concat_ws("#", "path", "part").alias("doc_id"), "page_content").dropDuplicates(["doc_id"])
+    return blocks_of_lines(readers.page_lines(read))
+
+
+def chunk_files(files: DataFrame, config: Config = Config()) -> DataFrame:
+    """Typed chunks of loaded files, with source_file."""
+    chunks = chunking.chunk(file_blocks(files), config.window_tokens, config.window_overlap, config.procedure_tokens, config.least_tokens)
+    return chunks.withColumn("source_file", text.basename(F.regexp_replace("doc_id", r"#\d+$", "")))
+
 
+def stage_chunks(chunks: DataFrame, stage: str, make_encoder: MakeEncoder | None = None, config: Config = Config(), with_sparse: bool = True, min_df: int = tfidf.MIN_DF) -> None:
+    """Write below ``stage`` the chunks, their dense vectors and, if wanted, the vocabulary and the sparse rows. Each is read again by what follows."""
+    spark = chunks.sparkSession
+    writers.save_stage(chunks, f"{stage}/chunks")
+    chunks = writers.load_stage(spark, f"{stage}/chunks")
+    writers.save_stage(embedding.embed(chunks, *([make_encoder] if make_encoder else []), batch=config.embed_batch), f"{stage}/dense")
+    remove(spark, f"{stage}/sparse")  # of an earlier run
+    if with_sparse:
+        rows = tfidf.document_terms(chunks, "id")
+        tfidf.save_model(tfidf.fit(rows, chunks.count(), min_df), f"{stage}/vocabulary")
+        sparse = tfidf.sparse_rows(rows, tfidf.load_model(spark, f"{stage}/vocabulary"))
+        writers.save_stage(sparse.withColumnRenamed("doc_id", "id"), f"{stage}/sparse")
 
-def points_of_stage(spark: SparkSession, stage: str, make_encoder: Callable[[], embedding.Encoder] | None = None, config: Config = Config()) -> DataFrame:
-    chunks = writers.load_stage(spark, stage)
-    dense = embedding.embed(chunks, *([make_encoder] if make_encoder else []), batch=config.embed_batch)
-    counts = tfidf.term_counts(chunks, "id")
-    vocabulary = cut(tfidf.fit(counts, chunks.count()))
-    sparse = tfidf.sparse_rows(tfidf.weights(counts, vocabulary)).withColumnRenamed("doc_id", "id")
-    return writers.points(chunks, dense, sparse)
+
+def points_of_stage(spark: SparkSession, stage: str) -> DataFrame:
+    """(id, payload, dense, sparse) of a stage; a chunk without known terms has a sparse row without entries, a stage without sparse rows has nulls."""
+    load = lambda name: writers.load_stage(spark, f"{stage}/{name}")
+    if exists(spark, f"{stage}/sparse"):
+        return writers.points(load("chunks"), load("dense"), load("sparse"))
+    return writers.points(load("chunks"), load("dense")).withColumn("sparse", F.lit(None).cast("struct<indices:array<int>,values:array<double>>"))
+
+
+def ingest(
+    chunks: DataFrame | None, stage: str, collection: str, spark: SparkSession, make_encoder: MakeEncoder | None = None, config: Config = Config(),
+    with_sparse: bool = True, stage_only: bool = False, upsert_only: bool = False, recreate: bool = False,
+) -> DataFrame | None:
+    """Stage chunks, then upsert their points into a collection, whose new version is returned.
+
+    ``stage_only`` stops before the upsert, ``upsert_only`` starts from a stage
+    that is there; so a job goes on where it was stopped. ``recreate`` forgets
+    what the collection had.
+    """
+    if not upsert_only:
+        stage_chunks(chunks, stage, make_encoder, config, with_sparse)
+    if stage_only:
+        return None
+    points = points_of_stage(spark, stage)
+    old = None if recreate else writers.read_collection(spark, collection)
+    return writers.write_collection(points if old is None else writers.upsert(old, points, "id"), collection)
 
 
-def upload(spark: SparkSession, paths: list[str], make_encoder: Callable[[], embedding.Encoder] | None = None, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(points, errors) of files: load, split by characters, embed. A file that can't be read is an error row."""
-    files = readers.load_files(spark, paths)
-    pieces = files.where("error is null").select("file_ordinal", "path", F.posexplode(text.character_chunks("page_content")).alias("chunk_no", "text"))
-    pieces = pieces.withColumn("id", text.stable_id(F.col("path"), F.col("chunk_no")))
+def upload(spark: SparkSession, paths: list[str], make_encoder: MakeEncoder | None = None, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """(points, errors) of files: load, split by characters (``config.chunk_size``, ``chunk_overlap``), embed. A file that can't be read is an error row."""
+    files = cut(readers.load_files(spark, paths))
+    split = text.character_chunks(config.chunk_size, config.chunk_overlap)
+    pieces = files.where("error is null").select("file_ordinal", "path", "part", F.posexplode(split("page_content")).alias("chunk_no", "text"))
+    pieces = pieces.withColumn("id", text.stable_id(F.col("file_ordinal"), F.col("path"), F.col("part"), F.col("chunk_no")))
     dense = embedding.embed(pieces, *([make_encoder] if make_encoder else []), batch=config.embed_batch)
-    points = pieces.select("id", "file_ordinal", "chunk_no", text.basename(F.col("path")).alias("source_file"), "text").join(dense, "id")
-    return points, files.where("error is not null").select("path", "error")
+    points = pieces.select("id", "file_ordinal", "part", "chunk_no", text.basename(F.col("path")).alias("source_file"), "text").join(dense, "id")
+    return points, files.where("error is not null").select("file_ordinal", "path", "error")

@@ -6,7 +6,6 @@ are made from whole tables by the same small expression in both languages.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import structure, text
 from ..operators import chunking, search, sessions, tfidf
-from ..session import ship
+from ..session import scratch, ship
 from ..sources import readers, writers
 from ..streaming import answers as streams
-from .ingest import ingest, upload
+from .ingest import blocks_of_lines, chunk_files, file_blocks, ingest, upload
 from .pages import BLOCKS_SQL, page_blocks
-from .retrieval import answers, hybrid, query_weights, sparse_model
+from .retrieval import answers, hybrid, load_sparse_model, query_rows, retrieve, sparse_model, store_sparse_model, stream_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,21 +41,17 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a local one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
-    return f"{base}/{uuid.uuid4()}"
-
-
 c = F.col
 sha = lambda x: F.sha2(x, 256)
 
 # Text
 
 
-@query("f1_nfkc", "SELECT doc_id, sha256(nfc_normalize(text)) AS h FROM documents")
+@query("f1_nfkc", "SELECT doc_id, sha256(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) AS h FROM documents")
 def _(s, d):
-    return _t(s, d, "documents").select("doc_id", sha(text.nfkc("text")).alias("h"))
+    """Accents apart from their letters, and ligatures, which composition by compatibility takes apart."""
+    apart = F.replace(F.replace(c("text"), F.lit("e"), F.lit("e\u0301")), F.lit("fi"), F.lit("\ufb01"))
+    return _t(s, d, "documents").select("doc_id", sha(text.nfkc(apart)).alias("h"))
 
 
 @query(
@@ -146,23 +141,25 @@ def _(s, d):
 
 @query(
     "f12_split_think",
-    r"""WITH x AS (SELECT conv_id, turn, '<think> ' || left(text, 30) || chr(10) || '</think>' || text || '<think>b</think> z<think>open' AS t FROM conversations)
-SELECT conv_id, turn, regexp_replace(left(text, 30), '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || 'b' AS thought, sha256(regexp_replace(regexp_replace(t, '<think>(?s:.*?)</think>', '', 'g'), '^\s+|\s+$', '', 'g')) AS shown
+    r"""WITH x AS (SELECT conv_id, turn, '<think> ' || text || chr(10) || '</think>' || text || '<think>b</think> z<think>open' AS t FROM conversations)
+SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || 'b' AS thought, sha256(regexp_replace(regexp_replace(t, '<think>(?s:.*?)</think>', '', 'g'), '^\s+|\s+$', '', 'g')) AS shown
 FROM x JOIN conversations USING (conv_id, turn)""",
 )
 def _(s, d):
-    t = F.concat(F.lit("<think> "), F.left("text", F.lit(30)), F.lit("\n</think>"), "text", F.lit("<think>b</think> z<think>open"))
+    t = F.concat(F.lit("<think> "), "text", F.lit("\n</think>"), "text", F.lit("<think>b</think> z<think>open"))
     return _t(s, d, "conversations").select("conv_id", "turn", text.thinking(t).alias("thought"), sha(text.visible(t)).alias("shown"))
 
 
 @query(
     "f13_session_titles",
     r"""WITH u AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user' AND trim(text) <> '') AS t FROM conversations GROUP BY conv_id),
-l AS (SELECT conv_id, split_part(regexp_replace(t, '^\s+|\s+$', '', 'g'), chr(10), 1) AS l FROM u)
-SELECT conv_id, coalesce(CASE WHEN length(l) > 40 THEN left(l, 40) || '…' ELSE l END, 'New Chat') AS title FROM l""",
+l AS (SELECT conv_id, split_part(regexp_replace(t, '^\s+|\s+$', '', 'g'), chr(10), 1) AS l, ([NULL, '', 'New Chat', 'Untitled 3', 'Mine'])[(conv_id % 5 + 1)::INT] AS old FROM u)
+SELECT conv_id, CASE WHEN conv_id % 5 < 4 AND l IS NOT NULL THEN CASE WHEN length(l) > 40 THEN left(l, 40) || '…' ELSE l END ELSE old END AS title FROM l""",
 )
 def _(s, d):
-    return sessions.titles(_t(s, d, "conversations"))
+    messages = _t(s, d, "conversations")
+    old = F.element_at(F.array(F.lit(None), *[F.lit(x) for x in ("", "New Chat", "Untitled 3", "Mine")]), (c("conv_id") % 5 + 1).cast("int"))
+    return sessions.titles(messages, messages.select("conv_id").distinct().select("conv_id", old.alias("title")))
 
 
 @query(
@@ -180,15 +177,17 @@ def _(s, d):
 @query(
     "f16_f19_names_and_cards",
     r"""WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '  ' WHEN c_custkey % 4 = 1 THEN NULL ELSE ' ' || c_name || ' ' END AS u, c_mktsegment AS q FROM customer)
-SELECT c_custkey, coalesce(nullif(trim(u), ''), 'User') AS shown, 'Hello ' || coalesce(nullif(trim(u), ''), 'User') || '!' AS greeting, upper(left(coalesce(nullif(trim(u), ''), 'User'), 1)) AS initial,
- 'Report #' || c_custkey || chr(10) || 'User: ' || coalesce(nullif(trim(u), ''), 'anonymous') || chr(10) || 'Question: ' || q || chr(10) || 'Answer: ' || q AS card FROM n""",
+SELECT c_custkey, coalesce(nullif(trim(u), ''), 'User') AS shown, 'Hello, ' || coalesce(nullif(trim(u), ''), 'User') || '! How can I assist you today?' AS greeting, upper(left(coalesce(nullif(trim(u), ''), 'User'), 1)) AS initial,
+ '🚨 Incorrect Answer Reported' AS title, '👤 **User:** ' || coalesce(nullif(trim(u), ''), 'anonymous') || chr(10) || chr(10) || '❓ **Question:**' || chr(10) || '```' || chr(10) || q || chr(10) || '```' || chr(10) || chr(10)
+ || '💬 **Answer:**' || chr(10) || '```' || chr(10) || q || chr(10) || '```' || chr(10) || chr(10) || '📊 **Report Count:** ' || c_custkey AS card FROM n""",
 )
 def _(s, d):
     u = F.when(c("c_custkey") % 4 == 0, F.lit("  ")).when(c("c_custkey") % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit(" "), "c_name", F.lit(" ")))
     q = c("c_mktsegment")
+    card = text.report_card(u, q, q, c("c_custkey"))
     return _t(s, d, "customer").select(
-        "c_custkey", text.display_name(u).alias("shown"), text.greeting(u).alias("greeting"), text.initial(u).alias("initial"), text.report_card(u, q, q, c("c_custkey")).alias("card")
-    )
+        "c_custkey", text.display_name(u).alias("shown"), text.greeting(u).alias("greeting"), text.initial(u).alias("initial"), card["title"].alias("title"), card["text"].alias("card"),
+    )
 
 
 @query("f17_rounding", "SELECT event_id, round((value * 1000)::BIGINT::DECIMAL(20,3) / 1000, 1)::DOUBLE AS s, round_even(value / 7, 4) AS r FROM events")
@@ -212,7 +211,7 @@ def _(s, d):
 
 @query("f24_character_chunks")
 def _(s, d):
-    rows = _t(s, d, "documents").select("doc_id", F.posexplode(text.character_chunks("text")).alias("chunk_no", "chunk"))
+    rows = _t(s, d, "documents").select("doc_id", F.posexplode(text.character_chunks()("text")).alias("chunk_no", "chunk"))
     return rows.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), sha(c("chunk")).alias("h"))
 
 
@@ -382,6 +381,19 @@ def _asked(s, d):
     return _t(s, d, "benchmark").select(c("item_id").alias("query_id"), "text")
 
 
+_MODELS: dict[tuple[str, str], str] = {}
+
+
+def _model(s, d):
+    """(vocabulary, sparse rows) of the documents: fitted and stored once a session, read from there by every query."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        path = scratch(s)
+        store_sparse_model(_docs(s, d), path)
+        _MODELS[key] = path
+    return load_sparse_model(s, _MODELS[key])
+
+
 @query("t1_vocabulary", f"WITH {TFIDF} SELECT term, term_id::INT AS term_id, df, round(idf, 9) AS idf FROM voc")
 def _(s, d):
     return sparse_model(_docs(s, d))[0].withColumn("idf", F.round("idf", 9))
@@ -389,17 +401,18 @@ def _(s, d):
 
 @query("t1_weights", f"WITH {TFIDF} SELECT doc_id, term_id::INT AS term_id, round(weight, 6) AS weight FROM wt")
 def _(s, d):
-    return sparse_model(_docs(s, d))[1].withColumn("weight", F.round("weight", 6))
+    return tfidf.long_form(sparse_model(_docs(s, d))[1]).withColumn("weight", F.round("weight", 6))
 
 
 @query("t2_query_weights", f"WITH {TFIDF} SELECT query_id, term_id::INT AS term_id, round(weight, 6) AS weight FROM qw")
 def _(s, d):
-    return query_weights(_asked(s, d), sparse_model(_docs(s, d))[0]).withColumn("weight", F.round("weight", 6))
+    rows = query_rows(_asked(s, d), _model(s, d)[0]).withColumnRenamed("query_id", "doc_id")
+    return tfidf.long_form(rows).select(c("doc_id").alias("query_id"), "term_id", F.round("weight", 6).alias("weight"))
 
 
 @query("t3_sparse_rows", f"WITH {TFIDF} SELECT doc_id, count(*) AS n, string_agg(term_id, ',' ORDER BY term_id) AS indices, round(sum(weight), 6) AS total FROM wt GROUP BY doc_id")
 def _(s, d):
-    rows = tfidf.sparse_rows(sparse_model(_docs(s, d))[1])
+    rows = _model(s, d)[1].where(F.size("indices") > 0)
     return rows.select("doc_id", F.size("indices").cast("long").alias("n"), F.concat_ws(",", c("indices").cast("array<string>")).alias("indices"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
@@ -449,8 +462,8 @@ sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 @query("r2_sparse_top_k", f"WITH {SPARSE} SELECT query_id, doc_id, score, rank FROM sr WHERE rank <= 50")
 def _(s, d):
-    vocabulary, weights = sparse_model(_docs(s, d))
-    return search.sparse_hits(weights, query_weights(_asked(s, d), vocabulary))
+    vocabulary, rows = _model(s, d)
+    return search.sparse_hits(rows, query_rows(_asked(s, d), vocabulary))
 
 
 HYBRID = f"""{SPARSE},
@@ -467,7 +480,7 @@ def _hybrid(s, d):
     asked = _asked(s, d)
     vectors = _vectors(s, d)
     of_queries = asked.join(vectors, asked["query_id"] == vectors["doc_id"]).select("query_id", "vector")
-    return hybrid(_docs(s, d), vectors, asked, of_queries)
+    return hybrid(_model(s, d), vectors, asked, of_queries)
 
 
 @query("r3_r4_r5_hybrid", f"WITH {HYBRID} SELECT query_id, doc_id, dense_rank, sparse_rank, score, rank FROM fr WHERE rank <= 5")
@@ -498,35 +511,59 @@ def _(s, d):
     return search.confidence(_reranked(s, d), _asked(s, d))
 
 
-@query("r9_r10_answers")
-def _(s, d):
+ANSWERS = rf"""{RERANK},
+an AS (SELECT item_id AS query_id, round_even(coalesce(avg(rerank_score), 0.0), 4) AS confidence, count(rerank_score) AS num_sources,
+  CASE WHEN count(doc_id) = 0 THEN '[]' ELSE to_json(list({{'page_content': rr.text, 'metadata': {{'doc_id': doc_id::VARCHAR}}}} ORDER BY rank) FILTER (doc_id IS NOT NULL)) END AS sources,
+  'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(string_agg(rr.text, chr(10) || chr(10) ORDER BY rank), '') || chr(10) || chr(10) || 'Question: ' || any_value(b.text) || chr(10) || chr(10) || 'Answer:' AS prompt
+  FROM benchmark b LEFT JOIN rr ON query_id = item_id GROUP BY item_id)"""
+
+
+def _answers(s, d):
     return answers(_docs(s, d), _hybrid(s, d), _asked(s, d))
 
 
+@query("r9_r10_answers", f"WITH {ANSWERS} SELECT query_id, confidence, num_sources, sha256(sources) AS sources, sha256(prompt) AS prompt FROM an")
+def _(s, d):
+    return _answers(s, d).select("query_id", "confidence", "num_sources", sha(F.to_json("sources")).alias("sources"), sha(c("prompt")).alias("prompt"))
+
+
+@query(
+    "p21_dense_only",
+    """WITH hq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+hs AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 9) AS score FROM hq, embeddings),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM hs)
+SELECT * FROM hr WHERE rank <= 5 AND score <= 0.6""",
+)
+def _(s, d):
+    asked, vectors = _asked(s, d), _vectors(s, d)
+    of_queries = asked.join(vectors, asked["query_id"] == vectors["doc_id"]).select("query_id", "vector")
+    return retrieve(None, vectors, asked, of_queries)
+
+
 # Sources and sinks
 
 
 @query(
     "s2_choose_text",
-    """WITH x AS (SELECT doc_id, left(text, 1500) AS f, CASE WHEN doc_id % 3 = 0 THEN text ELSE left(text, 100) END AS l, CASE WHEN doc_id % 2 = 0 THEN text || text END AS o FROM documents),
+    """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS f, CASE WHEN doc_id % 3 = 0 THEN text || ' more' END AS l, CASE WHEN doc_id % 2 = 0 THEN text || text END AS o FROM documents),
 y AS (SELECT *, CASE WHEN length(f) < 2000 AND length(l) > length(f) THEN l ELSE f END AS t, CASE WHEN length(f) < 2000 AND length(l) > length(f) THEN 'layout' ELSE 'fast' END AS st FROM x)
-SELECT doc_id, CASE WHEN length(t) < 500 AND length(coalesce(o, '')) > length(t) THEN 'ocr' ELSE st END AS strategy, sha256(CASE WHEN length(t) < 500 AND length(coalesce(o, '')) > length(t) THEN o ELSE t END) AS h FROM y""",
+SELECT doc_id, CASE WHEN length(t) < 500 AND length(coalesce(o, '')) > length(t) THEN 'ocr' ELSE st END AS strategy, sha256(CASE WHEN length(t) < 500 AND length(coalesce(o, '')) > length(t) THEN o ELSE t END) AS h, CASE WHEN t = '' AND o IS NULL THEN 'no text' END AS error FROM y""",
 )
 def _(s, d):
     docs = _docs(s, d)
-    layout = F.when(c("doc_id") % 3 == 0, c("text")).otherwise(F.left("text", F.lit(100)))
-    tries = F.array(*[F.struct(F.lit(n).alias("strategy"), v.alias("text")) for n, v in (("fast", F.left("text", F.lit(1500))), ("layout", layout), ("ocr", F.when(c("doc_id") % 2 == 0, F.concat("text", "text"))))])
+    fast = F.when(c("doc_id") % 5 == 0, F.lit("")).otherwise(c("text"))
+    layout = F.when(c("doc_id") % 3 == 0, F.concat("text", F.lit(" more")))
+    tries = F.array(*[F.struct(F.lit(n).alias("strategy"), v.alias("text")) for n, v in (("fast", fast), ("layout", layout), ("ocr", F.when(c("doc_id") % 2 == 0, F.concat("text", "text"))))])
     out = readers.choose_text(docs.select("doc_id", F.explode(tries).alias("c")).select("doc_id", "c.*"), "doc_id")
-    return out.select("doc_id", "strategy", sha(c("text")).alias("h"))
+    return out.select("doc_id", "strategy", sha(c("text")).alias("h"), "error")
 
 
-@query("s3_text_files", "SELECT count(*) AS files, sum(length(n_name))::BIGINT + count(*) AS n_chars FROM nation")
+@query("s3_text_files", "SELECT doc_id, sha256(text || chr(10)) AS h FROM documents")
 def _(s, d):
     path = scratch(s)
-    _t(s, d, "nation").select("n_name").repartition(4).write.text(path)
-    got = readers.load_text(s, path)
-    lines = F.size(F.filter(F.split("page_content", "\n"), lambda x: x != ""))
-    return got.agg(F.sum(lines).alias("files"), F.sum(F.length("page_content")).alias("n_chars"))
+    _docs(s, d).write.partitionBy("doc_id").text(path)
+    got = readers.load_text(s, f"{path}/doc_id=*")
+    return got.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), sha(c("page_content")).alias("h"))
 
 
 @query("s4_csv", "SELECT c_custkey, 'c_custkey: ' || c_custkey || chr(10) || 'c_name: ' || c_name || chr(10) || 'c_mktsegment: ' || c_mktsegment AS page_content FROM customer")
@@ -550,12 +587,52 @@ def _(s, d):
     return out.select("doc_id", "source_file", "file_type", readers.loader_of(c("path")).alias("loader"), readers.load_error(c("path")).alias("error"), "processed_at")
 
 
-@query("s7_load_files")
-def _(s, d):
+def _files(s, d):
+    """Paths of files that hold the benchmark's texts: text files, then a CSV file of the same name in another folder, then one of no known kind; every path but the last twice."""
     path = scratch(s)
-    _t(s, d, "benchmark").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).repartition(3).write.text(path)
-    names = sorted(r["p"] for r in s.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(c("path").alias("p")).collect())
-    return readers.load_files(s, names).select("file_ordinal", "error", F.length("page_content").alias("n_chars"))
+    rows = _t(s, d, "benchmark").select("item_id", c("text").alias("value"))
+    rows.repartition(1).sortWithinPartitions("item_id").select("item_id", "value").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/csv")
+    lines = rows.repartition(1).sortWithinPartitions(F.desc("item_id")).select("value")
+    for k in range(2):
+        lines.write.text(f"{path}/text/{k}")
+    rows.repartition(1).select(c("value").alias("v")).write.json(f"{path}/json")
+    found = {}
+    for kind in ("csv", "text/0", "text/1", "json"):
+        (found[kind],) = [r["path"] for r in s.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/{kind}").select("path").collect()]
+    return [found["text/1"], found["csv"], found["text/0"], found["text/1"], found["json"]]
+
+
+FILES = r"""parts AS (SELECT string_agg(text || chr(10), '' ORDER BY item_id DESC) AS t FROM benchmark),
+recs AS (SELECT 'item_id: ' || item_id || chr(10) || 'value: ' || text AS t, (row_number() OVER (ORDER BY item_id) - 1)::INT AS part FROM benchmark),
+files AS (SELECT f AS file_ordinal, 0 AS part, t AS page_content, NULL AS error FROM parts, (SELECT unnest([0, 2, 3])::INT AS f)
+  UNION ALL SELECT 1, part, t, NULL FROM recs UNION ALL SELECT 4, 0, NULL, 'Unsupported file type: .json')"""
+
+
+@query("s7_load_files", f"WITH {FILES} SELECT file_ordinal::INT AS file_ordinal, part::INT AS part, sha256(page_content) AS h, error FROM files")
+def _(s, d):
+    return readers.load_files(s, _files(s, d)).select("file_ordinal", "part", sha(c("page_content")).alias("h"), "error")
+
+
+# Page lines: a blank line before each line that begins with a capital, a form feed every ninth.
+PAGES = r"""pl AS (SELECT item_id AS doc_id, string_split(text, '. ') AS ls FROM benchmark),
+pr AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS i FROM pl),
+pg AS (SELECT doc_id, i, 1 + i // 3 AS page, trim(l) AS t FROM pr)"""
+
+
+@query(
+    "s1_f7_file_blocks",
+    f"""WITH {PAGES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS block_no, page::INT AS page, sha256(regexp_replace(trim('Part ' || i || ' of' || chr(10) || t), '[ \t]+', ' ', 'g')) AS h FROM pg""",
+)
+def _(s, d):
+    sentence = F.transform(F.split("text", r"\. "), lambda l, i: F.concat(F.when((i > 0) & (i % 3 == 0), F.lit("\f")).otherwise(F.lit("\r\n \t \n")), F.lit("Pa-\nrt  "), i, F.lit(" of   \n"), l))  # noqa: E741
+    docs = _t(s, d, "benchmark").select(c("item_id").alias("doc_id"), F.array_join(sentence, "").alias("page_content"))
+    return blocks_of_lines(readers.page_lines(docs)).select("doc_id", "block_no", "page", sha(c("text")).alias("h"))
+
+
+@query("s10_stored_count", "SELECT count(*) AS count FROM events WHERE event_type = 'error'")
+def _(s, d):
+    stored = _t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("count")).withColumn("id", F.when(c("event_type") == "error", 1).otherwise(2))
+    return readers.count_of(stored, 1)
 
 
 @query(
@@ -582,13 +659,38 @@ def _(s, d):
 
 @query(
     "k1_upsert",
-    """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""",
+    """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'new 2' ELSE 'old' END AS state, CASE WHEN vec_id % 3 = 0 THEN 'b' ELSE 'a' END AS flag, len(embedding)::INT AS dim FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""",
 )
 def _(s, d):
-    v = _t(s, d, "embeddings").select("vec_id")
-    old = v.where("vec_id % 2 = 0").withColumn("state", F.lit("old"))
-    new = v.where("vec_id % 3 = 0").withColumn("state", F.lit("new"))
-    return writers.upsert(old, new.unionByName(new), "vec_id")
+    """Nested points; of three versions of a new one, the latest stays, which is not the largest."""
+    point = lambda state, flag: F.struct(F.lit(state).alias("text"), F.create_map(F.lit(flag), F.lit(True)).alias("flags")).alias("payload")
+    v = _t(s, d, "embeddings").select("vec_id", c("embedding").alias("dense"))
+    old = v.where("vec_id % 2 = 0").select("*", point("old", "a"), F.lit(0).alias("version"))
+    new = [v.where("vec_id % 3 = 0").select("*", point(f"new {n}", "b"), F.lit(at).alias("version")) for n, at in ((1, 5), (2, 9), (3, 7))]
+    out = writers.upsert(old, new[0].unionByName(new[1]).unionByName(new[2]), "vec_id", c("version"))
+    return out.select("vec_id", c("payload.text").alias("state"), F.element_at(F.map_keys("payload.flags"), 1).alias("flag"), F.size("dense").alias("dim"))
+
+
+@query("k2_send_points", "SELECT count(*) AS points, true AS bounded FROM embeddings")
+def _(s, d):
+    sent = writers.send_points(_vectors(s, d), lambda: lambda points: None)
+    return sent.agg(F.sum("batch_rows").alias("points"), (F.max("batch_rows") <= 256).alias("bounded"))
+
+
+@query("k3_k4_ensure_table", "SELECT 'kept' AS step, count(*) * 2 AS n FROM nation UNION ALL SELECT 'anew', 0")
+def _(s, d):
+    path, name = scratch(s), f"nation_{uuid.uuid4().hex}"
+    rows = _t(s, d, "nation").select("n_nationkey", "n_name")
+    ensure = lambda recreate=False: writers.ensure_table(s, name, "n_nationkey long, n_name string", recreate, path)
+    counts = []
+    for _ in range(2):
+        ensure()
+        rows.select(c("n_nationkey").cast("long"), "n_name").write.insertInto(name)
+    counts.append(("kept", s.table(name).count()))
+    ensure(recreate=True)
+    counts.append(("anew", s.table(name).count()))
+    s.sql(f"DROP TABLE {name}")
+    return s.createDataFrame(counts, "step string, n long")
 
 
 @query("k9_insert_or_ignore", """SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'old' ELSE 'new' END AS state FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0""")
@@ -618,66 +720,157 @@ def _(s, d):
     return writers.load_stage(s, path).select("vec_id", "label", F.size("embedding").alias("dim"))
 
 
-@query("c8_points", f"WITH RECURSIVE {ALL_CHUNKS} SELECT c.id, len(embedding)::INT AS dim, sha256(text) AS h, path FROM chunks c JOIN embeddings ON vec_id = doc_id")
+@query("c8_points", f"WITH RECURSIVE {ALL_CHUNKS} SELECT c.id, len(embedding)::INT AS dim, sha256(text) AS h, path FROM chunks c LEFT JOIN embeddings ON vec_id = doc_id")
 def _(s, d):
     chunks = _chunks(s, d)
-    vectors = chunks.select("id", "doc_id").join(_vectors(s, d), "doc_id").select("id", "vector")
+    vectors = chunks.select("id", "doc_id").join(_vectors(s, d), "doc_id", "left").select("id", "vector")
     out = writers.points(chunks, vectors)
     return out.select("id", F.size("dense").alias("dim"), sha(c("payload.text")).alias("h"), text.section_display(c("payload.section_path")).alias("path"))
 
 
-@query("a5_upload")
+@query(
+    "a5_upload",
+    f"""WITH {FILES} SELECT file_ordinal::INT AS file_ordinal, part::INT AS part, min(chunk_no)::INT AS first_chunk, true AS covered, true AS bounded, 64 AS dim, coalesce(error, '') AS error
+FROM files, (SELECT 0 AS chunk_no) WHERE page_content IS NULL OR trim(page_content) <> '' GROUP BY ALL""",
+)
 def _(s, d):
-    path = scratch(s)
-    _t(s, d, "benchmark").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).repartition(3).write.text(path)
-    names = sorted(r["p"] for r in s.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(c("path").alias("p")).collect())
-    return upload(s, names)[0].select("file_ordinal", "chunk_no", F.length("text").alias("n_chars"), F.size("vector").alias("dim"))
+    """Chunks of each document: they start at 0, hold all its words, and none is too long."""
+    names = _files(s, d)
+    points, errors = upload(s, names)
+    whole = readers.load_files(s, names).where("error is null").select(c("file_ordinal").alias("o"), c("part").alias("p"), "page_content")
+    words = lambda x: F.array_distinct(F.split(text.strip(x), r"(?U)\s+"))
+    said = points.groupBy("file_ordinal", "part").agg(F.min("chunk_no").alias("first_chunk"), F.array_distinct(F.flatten(F.collect_list(words(c("text"))))).alias("ws"), (F.max(F.length("text")) <= 2000).alias("bounded"), F.min(F.size("vector")).alias("dim"))
+    covered = F.size(F.array_except(words(c("page_content")), c("ws"))) == 0
+    good = said.join(whole, (c("file_ordinal") == c("o")) & (c("part") == c("p"))).select("file_ordinal", "part", "first_chunk", covered.alias("covered"), "bounded", "dim", F.lit("").alias("error"))
+    bad = errors.select("file_ordinal", F.lit(0).alias("part"), F.lit(0).alias("first_chunk"), F.lit(True).alias("covered"), F.lit(True).alias("bounded"), F.lit(64).alias("dim"), "error")
+    return good.unionByName(bad)
+
+
+# Sparse rows of chunks, as id, number of entries, their ids and the sum of their weights; nothing where a chunk has no known term.
+CHUNK_TFIDF = r"""ctok AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM chunks),
+cterm AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ctok),
+ctf AS (SELECT id, term, count(*) AS tf FROM cterm GROUP BY ALL),
+cdf AS (SELECT term, count(*) AS df, sum(tf) AS total FROM ctf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.9 * (SELECT count(*) FROM chunks)),
+cvoc AS (SELECT term, row_number() OVER (ORDER BY encode(term)) - 1 AS term_id, ln((1.0 + (SELECT count(*) FROM chunks)) / (1.0 + df)) + 1 AS idf FROM (SELECT * FROM cdf ORDER BY total DESC, encode(term) LIMIT 200000)),
+craw AS (SELECT id, term_id, tf * idf AS w FROM ctf JOIN cvoc USING (term)),
+cnrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM craw GROUP BY id),
+csp AS (SELECT id, count(*) AS n_terms, sha256(string_agg(term_id, ',' ORDER BY term_id)) AS terms, round(sum(w / norm), 6) AS total FROM craw JOIN cnrm USING (id) GROUP BY id)"""
+NO_TERMS = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def _point_rows(points):
+    values = F.round(F.aggregate("sparse.values", F.lit(0.0), lambda a, x: a + x), 6)
+    return points.select("id", sha(c("payload.text")).alias("h"), F.size("dense").alias("dim"), F.size("sparse.indices").cast("long").alias("n_terms"), sha(F.concat_ws(",", c("sparse.indices").cast("array<string>"))).alias("terms"), values.alias("total"))
 
 
 @query(
     "a9_ingest",
-    f"""WITH RECURSIVE {ALL_CHUNKS} SELECT id, sha256(text) AS h, 64 AS dim, 1.0::DOUBLE AS norm FROM chunks""",
+    f"""WITH RECURSIVE {ALL_CHUNKS}, {CHUNK_TFIDF} SELECT chunks.id, sha256(text) AS h, 64 AS dim, coalesce(n_terms, 0) AS n_terms, coalesce(terms, '{NO_TERMS}') AS terms, coalesce(total, 0.0) AS total FROM chunks LEFT JOIN csp USING (id)""",
+)
+def _(s, d):
+    """Staged, then upserted twice from the stage: the second time replaces the first."""
+    stage, collection = scratch(s), scratch(s)
+    ingest(chunking.chunk(page_blocks(_t(s, d, "pages"))), stage, collection, s, stage_only=True)
+    ingest(None, stage, collection, s, upsert_only=True)
+    return _point_rows(ingest(None, stage, collection, s, upsert_only=True))
+
+
+FILE_CHUNKS = rf"""{FILES},
+fb AS (SELECT doc, unnest(list_filter(string_split(regexp_replace(regexp_replace(page_content, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), chr(10)), lambda x: trim(x) <> '')) AS line FROM
+  (SELECT CASE WHEN file_ordinal = 1 THEN 'c' || part ELSE 't' || file_ordinal END AS doc, page_content FROM files WHERE page_content IS NOT NULL AND file_ordinal <> 3)),
+fd AS (SELECT doc, string_agg(trim(line), chr(10)) AS text FROM fb GROUP BY doc)"""
+
+
+@query(
+    "a8_c6_files_to_points",
+    f"""WITH {FILE_CHUNKS} SELECT count(*) FILTER (doc LIKE 'c%' AND greatest(1, ceil(length(text) / 4.0)) >= 20) AS csv_documents, count(*) FILTER (doc LIKE 't%') AS text_documents, 64 AS dim, true AS with_sparse, true AS whole FROM fd""",
 )
 def _(s, d):
-    out = ingest(page_blocks(_t(s, d, "pages")), scratch(s))
-    square = lambda v: F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6)
-    return out.select("id", sha(c("payload.text")).alias("h"), F.size("dense").alias("dim"), square(F.coalesce("sparse.values", F.array(F.lit(1.0)))).alias("norm"))
+    """Files, through blocks, chunks, the stage and the collection, to points: each chunk's lines are lines of its document."""
+    files = readers.load_files(s, _files(s, d))
+    collection = scratch(s)
+    points = ingest(chunk_files(files), scratch(s), collection, s)
+    blocks = file_blocks(files).groupBy("doc_id").agg(F.flatten(F.collect_list(F.split("text", "\n"))).alias("ls"))
+    chunks = points.select("id", "dense", "sparse", "payload.*")
+    of_file = F.when(c("source_file").endswith(".csv"), "csv").otherwise("text")
+    source = chunk_files(files).select("id", "doc_id").join(blocks, "doc_id")
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    rows = chunks.join(source, "id").select("doc_id", of_file.alias("kind"), F.size("dense").alias("dim"), c("sparse").isNotNull().alias("sp"), (F.size(F.array_except(lines, c("ls"))) == 0).alias("whole"))
+    count = lambda kind: F.count_distinct(F.when(c("kind") == kind, c("doc_id")))
+    return rows.agg(count("csv").alias("csv_documents"), count("text").alias("text_documents"), F.min("dim").alias("dim"), F.bool_and("sp").alias("with_sparse"), F.bool_and("whole").alias("whole"))
 
 
 # Sessions and streams
 
-EVENTS_SQL = r"""tk AS (SELECT conv_id || '-' || turn AS query_id, string_split(text, ' ') AS ws FROM conversations WHERE role = 'assistant'),
-ev AS (SELECT query_id, 0 AS seq, 'sources' AS event, len(ws)::VARCHAR AS data FROM tk
-  UNION ALL SELECT query_id, i, 'token', CASE WHEN i > 1 THEN ' ' ELSE '' END || ws[i] FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM tk)
-  UNION ALL SELECT query_id, len(ws) + 1, 'end', '' FROM tk)"""
+TURN_EVENTS = r"""tk AS (SELECT conv_id || '-' || turn AS query_id, turn, string_split(text, ' ') AS ws FROM conversations WHERE role = 'assistant'),
+ev AS (SELECT query_id, 0 AS seq, 'sources' AS event, '{"sources":[],"confidence_score":0.0,"retrieval_time_ms":0.0,"num_sources":0}' AS data FROM tk
+  UNION ALL SELECT query_id, i, 'token', to_json({'token': CASE WHEN i > 1 THEN ' ' ELSE '' END || ws[i]}) FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM tk)
+  UNION ALL SELECT query_id, len(ws) + 1, 'end', '{"total_time_ms":0.0,"thought_time_ms":0.0}' FROM tk)"""
+
+
+def _turn_events(s, d):
+    return sessions.answer_events(sessions.turn_answers(_t(s, d, "conversations")))
 
 
-@query("w1_answer_events", f"WITH {EVENTS_SQL} SELECT query_id, seq::INT AS seq, event, data FROM ev")
+@query("w1_turn_events", f"WITH {TURN_EVENTS} SELECT query_id, seq::INT AS seq, event, data FROM ev")
 def _(s, d):
-    return sessions.answer_events(_t(s, d, "conversations"))
+    return _turn_events(s, d)
+
+
+# The stand-in for a language model says the prompt's question again.
+STREAMED = rf"""{ANSWERS},
+sw AS (SELECT *, string_split('You asked: ' || b.text, ' ') AS ws FROM an JOIN benchmark b ON b.item_id = an.query_id),
+ev AS (SELECT query_id, 0 AS seq, 'sources' AS event, '{{"sources":' || sources || ',"confidence_score":' || confidence || ',"retrieval_time_ms":12.5,"num_sources":' || num_sources || '}}' AS data FROM sw
+  UNION ALL SELECT query_id, i, 'token', to_json({{'token': CASE WHEN i > 1 THEN ' ' ELSE '' END || ws[i]}}) FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM sw)
+  UNION ALL SELECT query_id, len(ws) + 1, 'end', '{{"total_time_ms":' || (20.0 + query_id % 7)::DECIMAL(9, 1) || ',"thought_time_ms":' || (7.5 + query_id % 7)::DECIMAL(9, 1) || '}}' FROM sw)"""
+
+
+def _streamed(s, d):
+    echo = lambda prompt: F.concat(F.lit("You asked: "), F.regexp_extract(prompt, r"(?s)\n\nQuestion: ((?!.*\n\nQuestion: ).*)\n\nAnswer:$", 1))
+    return stream_answers(_answers(s, d), echo, F.lit(12.5), F.lit(20.0) + c("query_id") % 7)
+
+
+@query("w1_a3_answer_events", f"WITH {STREAMED} SELECT query_id, seq::INT AS seq, event, sha256(data) AS h FROM ev")
+def _(s, d):
+    return _streamed(s, d).select("query_id", "seq", "event", sha(c("data")).alias("h"))
 
 
 @query(
-    "w2_w5_fold_answers",
-    """SELECT conv_id || '-' || turn AS query_id, CASE WHEN turn % 4 = 3 THEN 'Sorry, something went wrong.' ELSE text END AS content, len(string_split(text, ' '))::BIGINT AS num_sources, true AS ended, turn % 4 = 3 AS error FROM conversations WHERE role = 'assistant'""",
+    "w3_a3_fold_streamed",
+    f"""WITH {STREAMED} SELECT query_id, 'You asked: ' || text AS content, sha256(sources) AS sources, num_sources, confidence, 12.5::DOUBLE AS retrieval_time_ms, (20 + query_id % 7)::DOUBLE AS total_time_ms, (7.5 + query_id % 7)::DOUBLE AS thought_time_ms, true AS ended, false AS error FROM sw""",
 )
 def _(s, d):
-    turns = _t(s, d, "conversations")
-    failed = turns.where("role = 'assistant' and turn % 4 = 3").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.lit(1_000_000).alias("seq"), F.lit("error").alias("event"), F.lit("x").alias("data"))
-    return sessions.fold_answers(sessions.answer_events(turns).unionByName(failed))
+    return sessions.fold_answers(_streamed(s, d)).withColumn("sources", sha(c("sources")))
+
+
+#: Every fourth answer fails after two events: an error takes the place of what would follow.
+FOLDED = f"""SELECT conv_id || '-' || turn AS query_id, CASE WHEN turn % 4 = 3 THEN '{text.STREAM_FAILED}' ELSE text END AS content, '[]' AS sources, 0::BIGINT AS num_sources, 0.0::DOUBLE AS confidence,
+ 0.0::DOUBLE AS retrieval_time_ms, CASE WHEN turn % 4 <> 3 THEN 0.0::DOUBLE END AS total_time_ms, CASE WHEN turn % 4 <> 3 THEN 0.0::DOUBLE END AS thought_time_ms, turn % 4 <> 3 AS ended, turn % 4 = 3 AS error FROM conversations WHERE role = 'assistant'"""
+
 
+def _with_errors(s, d):
+    events = _turn_events(s, d)
+    fails = F.split_part("query_id", F.lit("-"), F.lit(2)).cast("long") % 4 == 3
+    failed = events.where(fails & (c("seq") == 0)).select("query_id", F.lit(2).alias("seq"), F.lit("error").alias("event"), F.lit("{}").alias("data"))
+    return events.where(~fails | (c("seq") < 2)).unionByName(failed)
 
-@query("w2_stream_fold", """SELECT conv_id || '-' || turn AS query_id, text AS content, len(string_split(text, ' '))::BIGINT AS num_sources FROM conversations WHERE role = 'assistant'""")
+
+@query("w2_w5_fold_answers", FOLDED)
+def _(s, d):
+    return sessions.fold_answers(_with_errors(s, d))
+
+
+@query("w2_w5_stream_fold", FOLDED)
 def _(s, d):
     base = scratch(s)
-    sessions.answer_events(_t(s, d, "conversations")).repartition(8).write.parquet(f"{base}/events")
+    _with_errors(s, d).repartition(8).write.parquet(f"{base}/events")
     streams.run_available(streams.fold_stream(streams.read_events(s, f"{base}/events")), f"{base}/out", f"{base}/state")
     return s.read.parquet(f"{base}/out")
 
 
-@query("k10_frames", f"""WITH {EVENTS_SQL} SELECT query_id, seq::INT AS seq, 'event: ' || event || chr(10) || 'data: ' || to_json({{'data': data}}) || chr(10) || chr(10) AS frame FROM ev""")
+@query("k10_frames", f"""WITH {TURN_EVENTS} SELECT query_id, seq::INT AS seq, 'event: ' || event || chr(10) || 'data: ' || data || chr(10) || chr(10) AS frame FROM ev""")
 def _(s, d):
-    return writers.server_events(sessions.answer_events(_t(s, d, "conversations")))
+    return writers.server_events(_turn_events(s, d))
 
 
 @query("k12_session_store", "SELECT conv_id, to_json(list({'role': role, 'content': text} ORDER BY turn)) AS messages FROM conversations GROUP BY conv_id")
@@ -685,9 +878,9 @@ def _(s, d):
     return writers.session_store(_t(s, d, "conversations"))
 
 
-@query("g9_report_numbers", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS report_no FROM events WHERE event_type = 'error'")
+@query("g9_report_numbers", "SELECT event_id, row_number() OVER (ORDER BY t NULLS FIRST, event_id) AS report_no FROM (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN ts END AS t FROM events)")
 def _(s, d):
-    reports = _t(s, d, "events").where("event_type = 'error'").select("event_id", "ts")
+    reports = _t(s, d, "events").select("event_id", F.when(c("event_id") % 11 != 0, c("ts")).alias("ts"))
     return sessions.report_numbers(reports, "ts", "event_id").select("event_id", "report_no")
 
 
@@ -727,9 +920,24 @@ def _(s, d):
     return sessions.timings(spans.withColumn("retrieved", F.coalesce("v", "started")))
 
 
-@query("w8_last_state", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events FROM events GROUP BY user_id")
+@query(
+    "w8_report_states",
+    """WITH a AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 5 < 3 THEN 'report' WHEN event_id % 5 = 3 THEN 'fail' ELSE 'ok' END AS act FROM events ),
+b AS (SELECT *, last_value(CASE WHEN act <> 'ok' THEN act END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM a),
+d AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, min(CASE WHEN act = 'ok' AND prev = 'report' THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS done_at FROM b),
+live AS (SELECT * FROM d WHERE done_at IS NULL OR (ts, event_id) <= done_at),
+e AS (SELECT user_id, bool_or(done_at IS NOT NULL) AS done, arg_max(act, n) FILTER (act <> 'ok') AS last, count(*) FILTER (act = 'report' AND prev IS DISTINCT FROM 'report') AS sent FROM live GROUP BY user_id)
+SELECT user_id, CASE WHEN done THEN 'done' WHEN last = 'report' THEN 'sending' WHEN last = 'fail' AND sent > 0 THEN 'error' ELSE 'idle' END AS state, sent FROM e""",
+)
+def _(s, d):
+    n = c("event_id") % 5
+    rows = _t(s, d, "events").withColumn("action", F.when(n < 3, "report").when(n == 3, "fail").otherwise("ok"))
+    return sessions.report_states(rows, "user_id", "action", "ts", "event_id")
+
+
+@query("p18_active_session", "SELECT coalesce(max(conv_id) FILTER (conv_id = 5 AND conv_id <> 5), max(conv_id) FILTER (conv_id <> 5)) AS active FROM conversations")
 def _(s, d):
-    return sessions.last_state(_t(s, d, "events"), "user_id", "event_type", "ts", "event_id")
+    return sessions.active_session(_t(s, d, "conversations"), wanted=5, removed=5)
 
 
 @query("o6_source_numbers", f"WITH {RERANK} SELECT query_id, doc_id, 'Source ' || rank AS label, left(text, 300) || '...' AS preview FROM rr")

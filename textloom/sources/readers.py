@@ -7,18 +7,20 @@ can't be parsed gives a row with an error, not a failed job.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import zip_longest
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, extension
+from ..functions.text import basename, extension, unify_lines
 from ..session import ship
 
 LOADERS = {".pdf": "pdf", ".txt": "text", ".csv": "csv", ".docx": "docx", ".xlsx": "xlsx"}
@@ -47,7 +49,7 @@ def load_text(spark: SparkSession, path: str) -> DataFrame:
 
 def load_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """One row a record: page_content with a line ``name: value`` for each column."""
-    rows = spark.read.csv(path, header=True, schema=schema)
+    rows = spark.read.csv(path, header=True, schema=schema, multiLine=True, quote='"', escape='"')
     lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in rows.columns]
     return rows.select("*", F.concat_ws("\n", *lines).alias("page_content"))
 
@@ -111,44 +113,72 @@ def _pdf(data: bytes) -> str:
     return "\f".join(pages)
 
 
-PARSERS = {"pdf": _pdf, "docx": _docx, "xlsx": _xlsx, "text": lambda b: b.decode("utf-8", "replace")}
+def _csv(data: bytes) -> list[str]:
+    """A document for each record: a line ``name: value`` for each column. Quoted values may hold line feeds."""
+    rows = csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"), newline=""))
+    names = next(rows, [])
+    return ["\n".join(f"{n}: {v}" for n, v in zip_longest(names, row[: len(names)], fillvalue="")) for row in rows if row]
+
+
+PARSERS = {"pdf": _pdf, "docx": _docx, "xlsx": _xlsx, "csv": _csv, "text": lambda b: b.decode("utf-8", "replace")}
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers give it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def load_files(spark: SparkSession, paths: list[str], parsers: dict | None = None) -> DataFrame:
-    """One row a file: file_ordinal, path, page_content, error; file_ordinal is the order of the paths given."""
+    """One row a document: file_ordinal, path, part, page_content, error.
+
+    file_ordinal is the place of the file in ``paths``; a path that is named
+    twice is loaded twice. A file is one document but for CSV files, of which
+    each record is one; part numbers them. Pages are parted by form feeds. A
+    file that can't be read is one row with an error.
+    """
     ship(spark)
     parse = PARSERS | (parsers or {})
-    order = {p.rpartition("/")[2]: i for i, p in enumerate(paths)}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts, errors = [], []
-            for data, loader, error in zip(part["content"], part["loader"], part["error"]):
-                text = None
+            rows = []
+            for path, data, loader, error in zip(part["path"], part["content"], part["loader"], part["error"]):
+                texts: list[str] = []
                 if error is None:
                     try:
-                        text = parse[loader](bytes(data))
-                        error = None if text.strip() else "no text"
+                        got = parse[loader](bytes(data))
+                        texts = [got] if isinstance(got, str) else got
+                        error = None if any(t.strip() for t in texts) else "no text"
                     except Exception as e:  # a broken file is a row, not a failed job
                         error = f"{type(e).__name__}: {e}"
-                texts.append(text)
-                errors.append(error)
-            yield pd.DataFrame({"path": part["path"], "page_content": texts, "error": errors})
+                rows += [(path, i, t, None) for i, t in enumerate(texts)] if error is None else [(path, 0, None, error)]
+            yield pd.DataFrame(rows, columns=["path", "part", "page_content", "error"])
+
+    named = [_qualified(spark, p) for p in paths]
+    order = spark.createDataFrame(list(enumerate(named)), "file_ordinal int, given string")
+    files = spark.read.format("binaryFile").load(sorted(set(named))).select("path", "content", loader_of(F.col("path")).alias("loader"), load_error(F.col("path")).alias("error"))
+    got = files.mapInPandas(run, "path string, part int, page_content string, error string")
+    return got.join(order, F.col("path") == F.col("given")).select("file_ordinal", "path", "part", "page_content", "error")
+
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content", loader_of(F.col("path")).alias("loader"), load_error(F.col("path")).alias("error"))
-    got = files.mapInPandas(run, "path string, page_content string, error string")
-    number = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[basename(F.col("path"))]
-    return got.withColumn("file_ordinal", number.cast("int"))
+def page_lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, page, line_no, line) of documents (doc_id, page_content): pages are parted by form feeds and count from 1; lines lose what is blank at their right."""
+    pages = documents.select("doc_id", F.posexplode(F.split("page_content", "\f")).alias("p", "t"))
+    lines = F.posexplode(F.split(unify_lines(F.col("t")), "\n"))
+    return pages.select("doc_id", (F.col("p") + 1).alias("page"), lines.alias("line_no", "line")).withColumn("line", F.regexp_replace("line", r"(?U)\s+$", ""))
 
 
 def choose_text(candidates: DataFrame, key: str = "path", ocr_available: bool = True) -> DataFrame:
     """The text of each file from candidates (key, strategy, text): fast, then layout, then ocr.
 
     Layout is looked at if the fast text is short, OCR if the best so far is
-    shorter still; each is kept if it is strictly longer. No text is an error.
+    shorter still; each is kept if it is strictly longer. Of several texts of a
+    strategy the longest counts. No text is an error.
     """
     size = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
-    wide = candidates.groupBy(key).pivot("strategy", ["fast", "layout", "ocr"]).agg(F.first("text"))
+    longest = F.max_by("text", F.struct(F.length("text"), "text"))
+    wide = candidates.groupBy(key).pivot("strategy", ["fast", "layout", "ocr"]).agg(longest)
     second = (size("fast") < ENOUGH) & (size("layout") > size("fast"))
     wide = wide.withColumn("text", F.when(second, F.col("layout")).otherwise(F.coalesce("fast", F.lit("")))).withColumn("strategy", F.when(second, "layout").otherwise("fast"))
     third = F.lit(ocr_available) & (size("text") < LEAST) & (size("ocr") > size("text"))
@@ -156,6 +186,11 @@ def choose_text(candidates: DataFrame, key: str = "path", ocr_available: bool =
     return chosen.withColumn("error", F.when(F.length("text") == 0, F.lit("no text")))
 
 
+def count_of(counters: DataFrame, key: int, id_col: str = "id", count_col: str = "count") -> DataFrame:
+    """(count) of one stored counter; no row if there is none."""
+    return counters.where(F.col(id_col) == F.lit(key)).select(F.col(count_col).alias("count"))
+
+
 def collection_info(points: DataFrame, vector: str = "vector") -> DataFrame:
     """One row: points_count, vector_size."""
     return points.agg(F.count("*").alias("points_count"), F.max(F.size(vector)).cast("long").alias("vector_size"))

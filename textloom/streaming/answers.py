@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.sessions import folded
+
 EVENTS = "query_id string, seq int, event string, data string"
 
 
@@ -17,28 +19,52 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 4) -> D
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep what came out of order until the end is in, then emit the whole answer."""
-    pieces = dict(zip(*state.get)) if state.exists else {}
+def gather(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, patience: int | None = None) -> Iterator[pd.DataFrame]:
+    """The events of an answer, once: when its end or an error and all before are in, or when nothing came for ``patience`` milliseconds.
+
+    Until then they are kept as they come, in any order. An answer that was
+    emitted is remembered as long, so that late events do not emit it again;
+    without patience it is forgotten at once.
+    """
+    done, seqs, events, data = state.get if state.exists else (False, [], [], [])
+    if state.hasTimedOut:
+        state.remove()
+        if not done:
+            yield _row(key, seqs, events, data)
+        return
     for part in parts:
-        for seq, event, data in zip(part["seq"], part["event"], part["data"]):
-            pieces[int(seq)] = f"{event}\n{data}"
-    split = {k: v.partition("\n") for k, v in pieces.items()}
-    ends = [k for k, v in split.items() if v[0] == "end"]
-    if ends and len(pieces) == max(ends) + 1:
+        if not done:
+            seqs, events, data = ([*old, *part[c]] for old, c in ((seqs, "seq"), (events, "event"), (data, "data")))
+    if not done:
+        seqs = [int(s) for s in seqs]
+        ends = [s for s, e in zip(seqs, events) if e in ("end", "error")]
+        done = bool(ends) and len({s for s in seqs if s <= min(ends)}) == min(ends) + 1
+        if done:
+            yield _row(key, seqs, events, data)
+    if done and patience is None:
         state.remove()
-        text = "".join(v[2] for k, v in sorted(split.items()) if v[0] == "token")
-        sources = next((int(v[2]) for v in split.values() if v[0] == "sources"), 0)
-        yield pd.DataFrame({"query_id": [key[0]], "content": [text], "num_sources": [sources]})
-    else:
-        state.update((list(pieces), list(pieces.values())))
-
-
-def fold_stream(events: DataFrame) -> DataFrame:
-    """Whole answers, each once, when all its events are in."""
-    return events.groupBy("query_id").applyInPandasWithState(
-        _fold, "query_id string, content string, num_sources long", "seqs array<int>, pieces array<string>", "append", GroupStateTimeout.NoTimeout
-    )
+        return
+    state.update((True, [], [], []) if done else (False, seqs, events, data))
+    if patience is not None:
+        state.setTimeoutDuration(patience)
+
+
+def _row(key: tuple, seqs: list[int], events: list[str], data: list[str]) -> pd.DataFrame:
+    pieces = [{"seq": s, "event": e, "data": d} for s, e, d in zip(seqs, events, data)]
+    return pd.DataFrame({"query_id": [key[0]], "events": [pieces]})
+
+
+def fold_stream(events: DataFrame, patience: int | None = None) -> DataFrame:
+    """Messages as fold_answers makes them, each once: when the answer has ended or failed, or nothing came for ``patience`` milliseconds.
+
+    A stream that runs on should set it, so that no state stays for ever. Runs
+    that end when all is read leave it out, since timeouts would keep them going.
+    """
+    got = events.groupBy("query_id").applyInPandasWithState(
+        lambda key, parts, state: gather(key, parts, state, patience), "query_id string, events array<struct<seq:int,event:string,data:string>>",
+        "done boolean, seqs array<int>, events array<string>, data array<string>", "append", GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.ProcessingTimeTimeout,
+    )
+    return got.select("query_id", *folded(F.col("events")))
 
 
 def event_counts(events: DataFrame) -> DataFrame:

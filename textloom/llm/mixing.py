@@ -67,7 +67,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit
     )
 
 
-def mix_sources(
+def _placed(
     df: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
     share: float = 1.5,
@@ -77,21 +77,9 @@ def mix_sources(
     source_col: str = "source",
     text_col: str = "text",
     keep_text: bool = True,
-) -> DataFrame:
-    """All rows of df with size, source_size, target, copies and taken.
-
-    ``copies`` says how often the mix takes the row, ``taken`` how many words
-    that is. The columns of df stay, unless they have one of these five names,
-    which are replaced; with ``keep_text`` false the text goes too, and rows
-    without texts are written once and read from then on, so texts are read
-    once. Null text has size 0; rows without a source form the last source; a
-    null id counts as the empty text; equal rows get places one after the
-    other, in no special order, and so the same rows come out of every run. A
-    source whose documents are all empty has target 0. An empty table gives an
-    empty table.
-    """
-    made = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in df.columns if c.lower() not in made and (keep_text or c != text_col)]
+) -> tuple[DataFrame, list[str]]:
+    """All columns of df (but the text, if it isn't kept) and those of its size, source_size, target and copies, whose names come second."""
+    kept = [c for c in df.columns if keep_text or c != text_col]
     names = unused(df, "id", "size", "source", "key", "part", "length", "lead", "cell", "n", "words", "before", "source_size", "target", "rank", "copies")
     ident, size, source, key, part, length, lead, cell, n, s, before, source_size, target, rank, copies = names
     c = F.col
@@ -128,18 +116,37 @@ def mix_sources(
     place = c(before) + c(rank)
     crossed = F.floor(offset + over * place) - F.floor(offset + over * (place - 1))
     placed = placed.withColumn(copies, F.least(whole + crossed, F.ceil(rate)).cast("long"))
-    return placed.select(
-        *[F.col(f"`{x}`") for x in kept],
-        c(size).alias("size"), c(source_size).alias("source_size"), c(target).alias("target"), c(copies).alias("copies"), (c(copies) * c(size)).alias("taken"),
-    )
+    made = [size, source_size, target, copies]
+    return placed.select(*[F.col(f"`{x}`") for x in kept], *made), made
+
+
+def mix_sources(df: DataFrame, keep_text: bool = True, **options) -> DataFrame:
+    """All rows of df with size, source_size, target, copies and taken.
+
+    ``copies`` says how often the mix takes the row, ``taken`` how many words
+    that is. The columns of df stay, unless they have one of these five names,
+    which are replaced; with ``keep_text`` false the text goes too, and rows
+    without texts are written once and read from then on, so texts are read
+    once. Null text has size 0; rows without a source form the last source; a
+    null id counts as the empty text; equal rows get places one after the
+    other, in no special order, and so the same rows come out of every run. A
+    source whose documents are all empty has target 0. An empty table gives an
+    empty table. Options: weights, share, limit, seed and names of columns, as
+    in _placed.
+    """
+    placed, inner = _placed(df, keep_text=keep_text, **options)
+    size, source_size, target, copies = map(F.col, inner)
+    made = {"size": size, "source_size": source_size, "target": target, "copies": copies, "taken": copies * size}
+    kept = [F.col(f"`{x}`") for x in placed.columns[: -len(inner)] if x.lower() not in made]
+    return placed.select(*kept, *[v.alias(k) for k, v in made.items()])
 
 
 def take_mix(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of df as often as mix_sources says, with df's columns (but for the five names that it replaces)."""
-    mixed = mix_sources(df, **options).where(F.col("copies") > 0)
-    (copy,) = unused(mixed, "copy")
-    kept = [F.col(f"`{x}`") for x in mixed.columns[:-5]]
-    return mixed.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy)).drop(copy)
+    """The mix itself: each row of df as often as mix_sources says, with df's columns."""
+    placed, inner = _placed(df, **options)
+    copies = F.col(inner[-1])
+    (copy,) = unused(placed, "copy")
+    return placed.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop(copy, *inner)
 
 
 #: DuckDB SQL for the rows of op1: the same sums in one window over each source.

@@ -54,7 +54,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: Stages 1 to 3 and 5 are beyond SQL; tests hold them against brute force.
+#: Stages 1 to 3 and 5 are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain restatement on a small table.
 ORACLE_SQL = None
 
 

@@ -426,6 +426,43 @@ def test_rule_order_is_rejection_per_cost(spark):
     assert [r.name for r in quality_rules.order_rules(measured, rules)] == ["often", "never"]
 
 
+def test_later_rules_are_not_worked_out(spark):
+    """A rule that fails the query where it is worked out, after one that rejects the same rows."""
+    rows = frame(spark, [(i, "w " * i, "s") for i in range(60, 90)])
+    first = quality_rules.Rule("first", F.col("n_words") < 75)
+    bomb = quality_rules.Rule("bomb", F.when(F.col("n_words") < 75, F.raise_error(F.lit("worked out")).cast("boolean")).otherwise(F.lit(False)))
+    measured = quality_rules.measure(rows)
+    assert measured.where(quality_rules.cascade_of([first, bomb])).count() == 15
+    with pytest.raises(Exception, match="worked out"):
+        measured.where(quality_rules.cascade_of([bomb, first])).count()
+
+
+def test_costly_rules_come_after_cheap_ones_that_reject_as_much(spark):
+    rows = frame(spark, [(i, " ".join(f"word{j}" for j in range(i % 100 + 900)), "s") for i in range(300)])
+    measured, inner = quality_rules._measured(rows, "text")
+    costly = F.size(F.array_distinct(F.transform(inner[1], lambda w: F.sha2(F.sha2(F.sha2(w, 512), 512), 512))))
+    rules = [quality_rules.Rule("a_costly", (F.col("n_words") < 950) & (costly > 0)), quality_rules.Rule("b_cheap", F.col("n_words") < 950)]
+    assert [r.name for r in quality_rules.order_rules(measured, rules)] == ["b_cheap", "a_costly"]
+
+
+def test_method_rules(spark):
+    plain = " ".join(f"word{i}" for i in range(120))
+    ten = lambda form: "\n".join(form.format(i) for i in range(12))
+    texts = {
+        "plain": (plain, True), "list": (ten("- item{0} of the list with words{0} and more{0}"), False), "broken": (ten("line{0} of a page that goes on{0} to ..."), False),
+        "few": ("yes no " * 60, False), "lines": ("\n".join(plain.split()), True), "short list": ("- " + plain, True), "breaks once": (plain + "\nmore…", True),
+    }
+    rows = frame(spark, [(i, t, "s") for i, (t, _) in enumerate(texts.values())])
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(rows).collect()}
+    assert got == {i: kept for i, (_, kept) in enumerate(texts.values())}
+
+
+def test_quality_rules_replace_their_own_columns(spark):
+    rows = frame(spark, ODD).withColumns({"kept": F.lit("x"), "Base_Failed": F.lit("y"), "n_words": F.lit("z"), "words": F.lit("w"), "__low": F.lit("v")})
+    got = quality_rules.quality_rules(rows)
+    assert len(set(map(str.lower, got.columns))) == len(got.columns) and {(type(r.kept), r.words, r["__low"]) for r in got.collect()} == {(bool, "w", "v")}
+
+
 # 7
 
 

@@ -22,7 +22,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, cut, unused, word_count
+from .common import cut, unused, word_count
 
 #: Rows of the sample from which rules are ordered, how often each is worked off in a run, and runs of which the median counts.
 SAMPLE_ROWS, SAMPLE_TIMES, RUNS = 1000, 4, 3
@@ -73,23 +73,35 @@ def method_rules(text: str = "text", words: str = "words", lines: str = "lines")
     ]
 
 
-def _window(ws: Column, i: Column) -> Column:
-    """Hash of the three words from place i on; ws: a column of words, not an expression, as each window reads it."""
-    return F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))
+def _split(text: Column) -> Column:
+    """The words of a text: all white space becomes blanks, at which plain splitting is fast."""
+    for x in SPACE[1:]:
+        text = F.replace(text, F.lit(x), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
-def _packed(ws: Column, low: Column) -> Column:
+def _after(xs: Column, n: int) -> Column:
+    return F.slice(xs, n + 1, F.size(xs))
+
+
+def _windows(hashes: Column) -> Column:
+    """Hashes of the three-word windows, from a column of word hashes."""
+    two = F.zip_with(hashes, _after(hashes, 1), lambda x, y: F.xxhash64(x, y))
+    three = F.zip_with(two, _after(hashes, 2), lambda x, y: F.xxhash64(x, y))
+    return F.slice(three, 1, F.greatest(F.size(hashes) - 2, F.lit(0)))
+
+
+def _packed(windows: Column, low: Column) -> Column:
     """Of each window its hash bits above ``low`` and its place in the bits of ``low``, in order."""
-    packed = F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
-    return F.sort_array(F.slice(packed, 1, F.greatest(F.size(ws) - 2, F.lit(0))))
+    return F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
 
 
 def _candidates(packed: Column, low: Column) -> Column:
-    """Places of windows that share their hash bits with another; all that are found twice are among them."""
-    alike = lambda x, y: F.coalesce(F.bitwise_not(low).bitwiseAND(x.bitwiseXOR(y)) == 0, F.lit(False))
-    return F.transform(
-        F.filter(packed, lambda x, j: alike(x, F.get(packed, j + 1)) | alike(x, F.get(packed, j - 1))), lambda x: x.bitwiseAND(low).cast("int")
-    )
+    """Places of windows that share their hash bits with the next in order or the one before; all that are found twice are among them."""
+    place = lambda x: x.bitwiseAND(low).cast("int")
+    alike = lambda x, y: F.bitwise_not(low).bitwiseAND(x.bitwiseXOR(y)) == 0
+    pairs = F.zip_with(packed, _after(packed, 1), lambda x, y: F.when(alike(x, y), F.array(place(x), place(y))))
+    return F.array_distinct(F.flatten(F.array_compact(pairs)))
 
 
 def _repeated(placed: Column) -> Column:
@@ -101,13 +113,12 @@ def _repeated(placed: Column) -> Column:
 def _measured(df: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
     """df with its measures and inner columns, whose names come second: text, words and lines first."""
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in MEASURES]
-    names = unused(df, "text", "words", "lines", "low", "packed", "candidates", "placed", "repeated")
-    text, words, lines, low, packed, candidates, placed, repeated = names
+    names = unused(df, "text", "words", "lines", "low", "hashes", "windows", "packed", "candidates", "placed", "repeated")
+    text, words, lines, low, hashes, windows, packed, candidates, placed, repeated = names
     t, ws = F.col(text), F.col(words)
-    trimmed = F.btrim(t, F.lit(SPACE))
     out = df.select(*kept, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
     out = out.withColumns({
-        words: F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP)),
+        words: _split(t),
         lines: F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""),
     })
     out = out.withColumns({
@@ -116,11 +127,13 @@ def _measured(df: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        low: F.expr(f"shiftleft(1L, length(bin(size({words})))) - 1"),
+        low: F.expr(f"shiftleft(1L, length(bin(size(`{words}`)))) - 1"),
+        hashes: F.transform(ws, lambda w: F.xxhash64(w)),
     })
-    out = out.withColumn(packed, _packed(ws, F.col(low)))
+    out = out.withColumn(windows, _windows(F.col(hashes)))
+    out = out.withColumn(packed, _packed(F.col(windows), F.col(low)))
     out = out.withColumn(candidates, _candidates(F.col(packed), F.col(low)))
-    pairs = F.transform(F.col(candidates), lambda i: F.struct(_window(ws, i).alias("h"), i.alias("i")))
+    pairs = F.transform(F.col(candidates), lambda i: F.struct(F.get(F.col(windows), i).alias("h"), i.alias("i")))
     out = out.withColumn(placed, F.sort_array(pairs))
     out = out.withColumn(repeated, _repeated(F.col(placed)))
     r = F.col(repeated)

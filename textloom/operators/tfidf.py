@@ -20,7 +20,7 @@ MIN_DF, MAX_DF, MAX_FEATURES = 2, 0.9, 200_000
 def terms(words: Column) -> Column:
     """Words, and pairs of neighbours."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+    return F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
 
 
 def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,13 +33,14 @@ def fit(rows: DataFrame, n_docs: int, min_df: int = MIN_DF, max_df: float = MAX_
     """Vocabulary (term, term_id, df, idf) of rows (doc_id, terms): terms in enough and not too many documents, the most frequent ones, in alphabetical order.
 
     Equal terms of a row are neighbours once they are sorted, so each row says
-    which of its terms are the first of their kind. Ranks come after the cut to
+    which of its terms are the last of their kind. Ranks come after the cut to
     ``max_features`` rows, so the one-partition windows see a bounded table.
     Fewer than min_df / max_df documents have no vocabulary.
     """
     ordered = rows.select(F.sort_array("terms").alias("ts"))
-    flagged = F.transform("ts", lambda t, i: F.struct(t.alias("term"), F.coalesce(t != F.get("ts", i - 1), F.lit(True)).cast("int").alias("first")))
-    stats = ordered.select(F.inline(flagged)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("total"))
+    after = F.slice("ts", 2, F.greatest(F.size("ts"), F.lit(1)))
+    flagged = F.zip_with("ts", after, lambda t, n: F.struct(t.alias("term"), F.when(t == n, 0).otherwise(1).alias("last")))
+    stats = ordered.select(F.inline(flagged)).groupBy("term").agg(F.sum("last").alias("df"), F.count("*").alias("total"))
     stats = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
     kept = stats.orderBy(F.desc("total"), "term").limit(max_features)
     ids = F.row_number().over(Window.orderBy("term")) - 1
@@ -56,15 +57,22 @@ def sparse_rows(rows: DataFrame, vocabulary: DataFrame, max_features: int = MAX_
     n = vocabulary.count()
     if n > max_features:
         raise ValueError(f"a vocabulary of {n} terms is larger than max_features")
-    known = sorted(vocabulary.select("term_id", "term", "idf").collect())
-    if not known:
+    if not n:
         return rows.select("doc_id", F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
-    counted = CountVectorizerModel.from_vocabulary([r["term"] for r in known], inputCol="terms", outputCol="tf").transform(rows)
-    weighed = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="tf", outputCol="tfidf").transform(counted)
+    known = vocabulary.orderBy("term_id").toPandas()
+    counted = _counter(known["term"].tolist()).transform(rows)
+    weighed = ElementwiseProduct(scalingVec=Vectors.dense(known["idf"].to_numpy()), inputCol="tf", outputCol="tfidf").transform(counted)
     unit = Normalizer(p=2.0, inputCol="tfidf", outputCol="unit").transform(weighed).select("doc_id", F.unwrap_udt("unit").alias("v"))
     return unit.select("doc_id", F.col("v.indices").alias("indices"), F.col("v.values").alias("values"))
 
 
+def _counter(known: list[str]) -> CountVectorizerModel:
+    """A model that counts known terms. They go to the JVM as one text, which is split there: one by one they would take a call each."""
+    gateway = SparkSession.active().sparkContext._gateway
+    array = gateway.jvm.java.util.regex.Pattern.compile("\n").split("\n".join(known))
+    return CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", array).setInputCol("terms").setOutputCol("tf")
+
+
 def long_form(sparse: DataFrame) -> DataFrame:
     """(doc_id, term_id, weight) of sparse rows."""
     return sparse.select("doc_id", F.inline(F.arrays_zip(F.col("indices").alias("term_id"), F.col("values").alias("weight"))))

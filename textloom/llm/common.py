@@ -85,5 +85,7 @@ def merge_equal(df: DataFrame, copies: str) -> DataFrame:
                 at = pa.array(first[order])
                 columns = [c.take(at) for c in columns]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n[order].astype(np.int64))], names=schema.names)
+            del batch, columns
+            pa.default_memory_pool().release_unused()
 
     return python_on(keyed).mapInArrow(run, schema)

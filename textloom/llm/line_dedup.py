@@ -192,7 +192,8 @@ def dedup_lines(
     buckets = max(1, -(-text_bytes(df, text_col) // bucket_bytes))
     hashed = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     of_row = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    docs = merge_equal(df, copies).select("*", hashed.alias(row)).withColumn(bucket, of_row(F.col(row)))
+    keyed = df.select("*", hashed.alias(row)).withColumn(bucket, of_row(F.col(row)))
+    docs = merge_equal(keyed, copies)
     kind = df.schema[id_col].dataType.simpleString()
 
     def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,8 @@ def dedup_lines(
             )
 
     text = F.col(f"`{text_col}`").cast("binary")
-    listed = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.col(row).alias("row"), F.col(bucket).alias("bucket"))
+    # from unmerged rows: two Python functions in one task would need twice the memory, and hashes are combined anyway
+    listed = keyed.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.col(row).alias("row"), F.col(bucket).alias("bucket"))
     listed = listed.mapInArrow(list_chunks, f"h long, id {kind}, row long, bucket long, number int")
     by_bucket = cut(listed.groupBy("h", "bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "number")).alias("first")))
     repeated = by_bucket.groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")

@@ -495,6 +495,19 @@ def test_best_fit_equals_one_by_one():
             assert [r for r, _ in ranks] == np.cumsum([0, *[k for _, k in ranks]])[:-1].tolist() and sum(k for _, k in ranks) == counts[n]
 
 
+def test_token_ids_equal_the_tokenizers_on_hostile_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder("byte_bpe_50k").encode
+    rng = random.Random(32)
+    scraps = ["'s", "'LL", "  ", "\n\n", "\r\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "é", "e\u0301", "数字", "٣٤", "한국어", "Ⅷ", "½", "👩‍👩‍👧", "\ud7ff", "\x00", "<|endoftext|>", "word", "Word", "123", "4567890", "_", "...", "!?", "ſ", "İ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(scraps) for _ in range(rng.randint(0, 12)))
+        assert list(encode(text)) == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_pack_documents(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

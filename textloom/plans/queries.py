@@ -558,12 +558,13 @@ def _(s, d):
     return out.select("doc_id", "strategy", sha(c("text")).alias("h"), "error")
 
 
-@query("s3_text_files", "SELECT doc_id, sha256(text || chr(10)) AS h FROM documents")
+@query("s3_text_files", "SELECT item_id, sha256(text || chr(10)) AS h FROM benchmark")
 def _(s, d):
+    """A file for each text."""
     path = scratch(s)
-    _docs(s, d).write.partitionBy("doc_id").text(path)
-    got = readers.load_text(s, f"{path}/doc_id=*")
-    return got.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), sha(c("page_content")).alias("h"))
+    _t(s, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    got = readers.load_text(s, f"{path}/item_id=*")
+    return got.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), sha(c("page_content")).alias("h"))
 
 
 @query("s4_csv", "SELECT c_custkey, 'c_custkey: ' || c_custkey || chr(10) || 'c_name: ' || c_name || chr(10) || 'c_mktsegment: ' || c_mktsegment AS page_content FROM customer")

@@ -2,9 +2,11 @@
 
 import io
 import json
+import re
 import threading
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -269,3 +271,25 @@ def test_sessions_fall_back_to_the_newest(spark):
     chats = spark.createDataFrame([(1,), (4,), (9,)], "conv_id long")
     assert [sessions.active_session(chats, *x).first().active for x in ((4, 1), (4, 4), (9, 9))] == [4, 9, 4]
     assert sessions.active_session(chats.where("conv_id = 1"), 1, 1).first().active is None
+
+
+def test_vocabulary_is_cut_without_one_task_seeing_many_terms(spark, monkeypatch):
+    """Against plain counts, with ties at the cut; the table that is sorted at last is bounded by max_features, not by the number of tasks."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x}é" if x % 3 else f"W{x}-a" for x in rng.zipf(1.3, 40) % 3000)) for i in range(400)] + [(400, None), (401, "ab á cd")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    monkeypatch.setattr(tfidf, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(tfidf, "SAMPLE", 200)
+    df, total = Counter(), Counter()
+    for _, text in docs:
+        words = [w for w in re.split(r"[^\ẃ]+", (text or "").lower()) if len(w) > 1]
+        found = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+        df.update(found.keys())
+        total.update(found)
+    order = sorted((t for t in df if 2 <= df[t] <= 0.9 * len(docs)), key=lambda t: (-total[t], t))
+    rows = tfidf.document_terms(frame)
+    for n in (7, 300, len(order), 10**6):
+        got = [(r.term, r.term_id, r.df) for r in tfidf.fit(rows, len(docs), max_features=n).orderBy("term_id").collect()]
+        assert got == [(t, k, df[t]) for k, t in enumerate(sorted(order[:n]))]
+    counts = spark.createDataFrame([(f"t{i:05}", 2, 2 + i % 3) for i in range(20000)], "term string, df long, total long")
+    assert 100 <= tfidf._frequent(counts, 100).count() < 8000

@@ -13,23 +13,38 @@ from ..operators import search, sessions, tfidf
 from ..session import cut
 
 
+def vocabulary_of(docs: DataFrame, min_df: int = tfidf.MIN_DF) -> DataFrame:
+    """Vocabulary of docs (doc_id, text). It is bounded, written once and read by all that follows."""
+    return cut(tfidf.fit(tfidf.document_terms(docs), docs.count(), min_df))
+
+
 def sparse_model(docs: DataFrame, min_df: int = tfidf.MIN_DF) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, sparse rows) of docs (doc_id, text). The vocabulary, which is bounded, is written once and read by all that follows."""
-    rows = tfidf.document_terms(docs)
-    vocabulary = cut(tfidf.fit(rows, docs.count(), min_df))
-    return vocabulary, tfidf.sparse_rows(rows, vocabulary)
+    """(vocabulary, sparse rows) of docs (doc_id, text)."""
+    vocabulary = vocabulary_of(docs, min_df)
+    return vocabulary, tfidf.sparse_rows(tfidf.document_terms(docs), vocabulary)
+
+
+def store_vocabulary(docs: DataFrame, path: str) -> None:
+    tfidf.save_model(tfidf.fit(tfidf.document_terms(docs), docs.count()), path)
+
+
+def store_rows(docs: DataFrame, vocabulary: DataFrame, path: str) -> None:
+    tfidf.sparse_rows(tfidf.document_terms(docs), vocabulary).write.mode("overwrite").parquet(path)
+
+
+def load_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, indices array<int>, values array<double>").parquet(path)
 
 
 def store_sparse_model(docs: DataFrame, path: str) -> None:
     """Write the vocabulary and the sparse rows of docs below a path."""
-    vocabulary, rows = sparse_model(docs)
-    tfidf.save_model(vocabulary, f"{path}/vocabulary")
-    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    store_vocabulary(docs, f"{path}/vocabulary")
+    store_rows(docs, tfidf.load_model(docs.sparkSession, f"{path}/vocabulary"), f"{path}/rows")
 
 
 def load_sparse_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, sparse rows) that store_sparse_model wrote."""
-    return tfidf.load_model(spark, f"{path}/vocabulary"), spark.read.schema("doc_id long, indices array<int>, values array<double>").parquet(f"{path}/rows")
+    return tfidf.load_model(spark, f"{path}/vocabulary"), load_rows(spark, f"{path}/rows")
 
 
 def query_rows(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:

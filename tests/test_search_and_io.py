@@ -4,6 +4,7 @@ import io
 import json
 import re
 import threading
+import tracemalloc
 import zipfile
 import zlib
 from collections import Counter
@@ -293,3 +294,16 @@ def test_vocabulary_is_cut_without_one_task_seeing_many_terms(spark, monkeypatch
         assert got == [(t, k, df[t]) for k, t in enumerate(sorted(order[:n]))]
     counts = spark.createDataFrame([(f"t{i:05}", 2, 2 + i % 3) for i in range(20000)], "term string, df long, total long")
     assert 100 <= tfidf._frequent(counts, 100).count() < 8000
+
+
+def test_postings_of_common_terms_are_met_in_parts():
+    """100 queries and 1000 documents that share 50 terms: five million meetings, of which few are held at a time."""
+    n, m, terms = 100, 1000, 50
+    rows = lambda k: (np.arange(k), np.full(k, terms), np.tile(np.arange(terms, dtype=np.int32), k), np.linspace(1, 2, k).repeat(terms))
+    postings = search._Postings(*rows(n))
+    tracemalloc.start()
+    got = postings.hits(*rows(m), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    assert {(q, d) for q, d in zip(got.column(0).to_pylist(), got.column(1).to_pylist())} == {(q, d) for q in range(n) for d in (m - 1, m - 2, m - 3)}

@@ -140,13 +140,38 @@ class _Postings:
             known = np.flatnonzero(self.terms[place] == terms[part])
             place, doc, w = place[known], doc[known], weights[part][known]
             many = self.first[place + 1] - self.first[place]
-            posting = np.repeat(self.first[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            cell = self.query[posting] * n + np.repeat(doc, many)
             size = len(self.ids) * n
-            scores = np.bincount(cell, weights=np.repeat(w, many) * self.weight[posting], minlength=size)
-            met = np.bincount(cell, minlength=size) > 0
+            scores, met = np.zeros(size), np.zeros(size, bool)
+            upto = np.cumsum(many)
+            for cut in _cuts(upto):
+                posting = np.repeat(self.first[place[cut]] - upto[cut] + many[cut], many[cut]) + np.arange(upto[cut.start] - many[cut.start], upto[cut.stop - 1])
+                cell = self.query[posting] * n + np.repeat(doc[cut], many[cut])
+                np.add.at(scores, cell, np.repeat(w[cut], many[cut]) * self.weight[posting])
+                met[cell] = True
             rows.append(_k_best(np.where(met, np.round(scores, DIGITS), -np.inf).reshape(len(self.ids), n), self.ids, doc_ids[at : at + n], k))
-        return _hits(rows)
+            if len(rows) == 16:
+                rows = [_merged(rows, k)]
+        return _hits([_merged(rows, k)] if rows else [])
+
+
+def _cuts(upto: np.ndarray) -> Iterator[slice]:
+    """Parts of a running sum that add SCORES at most, or hold one item."""
+    at = 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SCORES, side="right")))
+        yield slice(at, end)
+        at = end
+
+
+def _merged(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query among hits, ties by document."""
+    ids, docs, scores = (np.concatenate(c) for c in zip(*rows))
+    order = np.lexsort((docs, -scores, ids))
+    of = ids[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+    rank = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+    best = order[rank < k]
+    return ids[best], docs[best], scores[best]
 
 
 def _csr(table: pa.Table | pa.RecordBatch, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import structure, text
 from textloom.operators import chunking
+from textloom.plans.pages import page_blocks
 from textloom.session import ship
 
 
@@ -137,3 +138,20 @@ def test_empty_blocks(spark):
     assert chunking.chunk(none).count() == 0
     blank = spark.createDataFrame([(1, 0, " \n ", 1)], "doc_id long, block_no int, text string, page int")
     assert chunking.chunk(blank).count() == 0
+
+
+def test_chunks_type_their_paragraphs_once(spark):
+    """The three kinds of chunks go on from written paragraphs; before, each found headings and types again."""
+    pages = spark.createDataFrame([(1, "<p>" + "</p><p>".join(f"Words of paragraph {i}. " * 9 for i in range(8)) + "</p>"), (2, None), (3, "none")], "page_id long, html string")
+    chunks = chunking.chunk(page_blocks(pages))
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "section_no" in plan and "isHeading" not in plan and "is_heading" not in plan
+    assert {r.doc_id for r in chunks.collect()} == {1}
+
+
+def test_page_blocks_find_paragraphs_once(spark):
+    """A generator that is no outer one makes Spark find them a second time, to filter."""
+    pages = spark.createDataFrame([(1, "<p>a. b</p><p>c</p>"), (2, None), (3, "none")], "page_id long, html string")
+    blocks = page_blocks(pages)
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [(r.doc_id, r.block_no, r.text) for r in blocks.orderBy("doc_id", "block_no").collect()] == [(1, 0, "1 Topic 0"), (1, 3, "a. b"), (1, 5, "- c"), (1, 7, "c")]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import structure, text
+from ..session import cut
 
 WIDTH, OVERLAP, PROCEDURE_TOKENS, LEAST_TOKENS = 1000, 150, 450, 20
 
@@ -59,7 +60,7 @@ def section_table(sectioned: DataFrame) -> DataFrame:
 def typed_paragraphs(sectioned: DataFrame) -> DataFrame:
     """Paragraphs of blocks that are no headings, with type and the run of one type that they belong to."""
     split = F.filter(F.transform(F.split(F.col("text"), r"\n[ \t]*\n"), text.strip), lambda p: p != "")
-    out = sectioned.where(~F.col("is_heading")).select("doc_id", "section_no", "section_path", "block_no", "page", F.posexplode(split).alias("part_no", "para"))
+    out = sectioned.where(~F.col("is_heading")).select("doc_id", "section_no", "section_path", "block_no", "page", F.posexplode_outer(split).alias("part_no", "para")).where("part_no is not null")  # without outer, Spark makes the parts twice, to filter
     out = out.withColumn("type", structure.paragraph_type(F.col("para")))
     along = Window.partitionBy("doc_id", "section_no").orderBy("block_no", "part_no")
     before = F.lag("type").over(along)
@@ -135,8 +136,11 @@ def concept_windows(paras: DataFrame, width: int = WIDTH, overlap: int = OVERLAP
 
 
 def chunk(blocks: DataFrame, width: int = WIDTH, overlap: int = OVERLAP, procedure_tokens: int = PROCEDURE_TOKENS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """Typed chunks of blocks: id, doc_id, section_no, run, ordinal, type, text, section_path, page_start, page_end, flags."""
-    paras = typed_paragraphs(sections(blocks))
+    """Typed chunks of blocks: id, doc_id, section_no, run, ordinal, type, text, section_path, page_start, page_end, flags.
+
+    The typed paragraphs are written once; the three kinds go on from there.
+    """
+    paras = cut(typed_paragraphs(sections(blocks)))
     kinds = {"table": table_chunks(paras), "procedure": procedure_chunks(paras, procedure_tokens), "concept": concept_windows(paras, width, overlap)}
     out = None
     for kind, rows in kinds.items():

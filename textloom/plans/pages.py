@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     paras = F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))
-    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(paras).alias("k", "html"))
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.posexplode_outer(paras).alias("k", "html")).where("k is not null")
     k, text = F.col("k"), F.regexp_replace("html", r"<[^>]+>", "")
     title = (
         F.when(k % 9 == 0, F.concat(k + 1, F.lit(" Topic "), k))
@@ -25,7 +25,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     grid = F.replace(F.replace(text, F.lit(". "), F.lit(".\n")), F.lit(" "), F.lit("  "))
     block = lambda n, when, value: F.when(when, F.struct((4 * k + n).alias("block_no"), value.alias("text")))
     blocks = F.array(block(0, k % 3 == 0, title), block(1, k % 4 == 1, bullets), block(2, k % 7 == 3, grid), block(3, F.lit(True), text))
-    rows = rows.select("doc_id", (k / 5).cast("int").alias("page"), F.explode(F.filter(blocks, lambda b: b.isNotNull())).alias("b"))
+    rows = rows.select("doc_id", (k / 5).cast("int").alias("page"), F.explode_outer(blocks).alias("b")).where("b is not null")
     return rows.select("doc_id", "b.block_no", "b.text", (F.col("page") + 1).alias("page"))
 
 

@@ -1,14 +1,16 @@
 """Settings, adaptive batches and uploads."""
 
+import zlib
+
 import numpy as np
 import pytest
 
 from textloom.__main__ import main
 from textloom.config import Config
 from textloom.operators import embedding
-from textloom.plans.ingest import upload
+from textloom.plans.ingest import ingest, points_of_stage, upload
 from textloom.session import shared_folder
-from textloom.sources.writers import read_collection
+from textloom.sources.writers import lacks_any, read_collection
 
 
 def test_config_reads_the_environment():
@@ -95,3 +97,33 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     with pytest.raises(RuntimeError):
         shared_folder(session)
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_encoder_counts_signed_words():
+    rows = embedding.hashing_encoder(["Some some\x1cwords", "", "\u00c9t\u00e9\u2003x"])
+    plain = np.zeros((3, 64))
+    for row, words in zip(plain, (["some", "some", "words"], [], ["\u00e9t\u00e9", "x"])):
+        for h in (zlib.crc32(w.encode()) for w in words):
+            row[h % 64] += 1 if h >> 16 & 1 else -1
+    assert (rows == plain).all() and embedding.hashing_encoder([]).shape == (0, 64)
+
+
+def _chunks(spark, *rows):
+    return spark.createDataFrame([(i, t, ["1 A"], 1, 2, {"is_concept": True}) for i, t in rows], "id string, text string, section_path array<string>, page_start int, page_end int, flags map<string,boolean>")
+
+
+def test_points_come_from_the_stage_without_a_join_and_once(spark, tmp_path):
+    """Before, chunks, vectors and sparse rows were joined, twice; and the first version of a collection kept repeated ids."""
+    stage, collection = str(tmp_path / "stage"), str(tmp_path / "points")
+    chunks = _chunks(spark, ("a", "red red fox"), ("b", "red fox runs"), ("c", None), ("d", "lone"))
+    first = ingest(chunks, stage, collection, spark)
+    assert "Join" not in points_of_stage(spark, stage)._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.id: r for r in first.collect()}
+    assert len(rows) == 4 and rows["c"].payload.text is None and not any(rows["c"].dense) and rows["c"].sparse.indices == []
+    assert rows["a"].sparse.indices == rows["b"].sparse.indices == [0, 1, 2] and rows["a"].payload.flags == {"is_concept": True} and len(rows["a"].dense) == 64
+    again = _chunks(spark, ("a", "new"), ("a", "new"), ("e", "more"))
+    assert not lacks_any(first, first, "id") and lacks_any(again, first, "id")
+    got = ingest(again, stage, collection, spark, with_sparse=False)
+    assert sorted((r.id, r.payload.text, r.sparse is None) for r in got.collect()) == [("a", "new", True), ("b", "red fox runs", False), ("c", None, False), ("d", "lone", False), ("e", "more", True)]
+    got = ingest(again, stage, str(tmp_path / "other"), spark, with_sparse=False)
+    assert sorted((r.id, r.payload.text) for r in got.collect()) == [("a", "new"), ("e", "more")]

@@ -51,9 +51,10 @@ def is_procedure(text: Column) -> Column:
 
 
 def is_table(text: Column) -> Column:
-    """Three lines of two columns or more, parted by a tab or two blanks."""
+    """Three lines of two columns or more, parted by a tab or two blanks. Lines are looked at where there are three."""
     rows = F.filter(F.split(text, "\n"), lambda x: (strip(x) != "") & (F.size(F.filter(F.split(strip(x), COLUMNS), lambda c: c != "")) >= 2))
-    return F.size(rows) >= 3
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(breaks < 2, False).otherwise(F.size(rows) >= 3)
 
 
 def paragraph_type(text: Column) -> Column:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut, ship
 
@@ -28,10 +29,10 @@ SLICE_BYTES = 1 << 23
 SAMPLE = 1 << 16
 
 
-def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, words): lower-cased text with a space for all between words. Its words of two characters or more are terms, and so are pairs of neighbours among them. Null text has none."""
+def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, words), and the columns to carry: lower-cased text with a space for all between words. Its words of two characters or more are terms, and so are pairs of neighbours among them. Null text has none."""
     words = F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), BETWEEN_WORDS, " ")
-    return docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
+    return docs.select(F.col(id_col).alias("doc_id"), words.alias("words"), *carry)
 
 
 def _slices(words: pa.StringArray) -> Iterator[tuple[int, pa.StringArray]]:
@@ -110,7 +111,7 @@ def _frequent(stats: DataFrame, n: int) -> DataFrame:
 
 
 def sparse_rows(rows: DataFrame, vocabulary: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(doc_id, indices, values) of rows (doc_id, words): tf idf of length one, in order of term id.
+    """(doc_id, indices, values) of rows (doc_id, words), and their other columns: tf idf of length one, in order of term id.
 
     Unknown terms drop out; a row without known terms has empty arrays. The
     vocabulary is counted before it is sent.
@@ -120,8 +121,9 @@ def sparse_rows(rows: DataFrame, vocabulary: DataFrame, max_features: int = MAX_
     n = vocabulary.count()
     if n > max_features:
         raise ValueError(f"a vocabulary of {n} terms is larger than max_features")
+    others = [c for c in rows.columns if c not in ("doc_id", "words")]
     if not n:
-        return rows.select("doc_id", F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
+        return rows.select("doc_id", F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"), *others)
     known = vocabulary.orderBy("term_id").select("term", "idf").toArrow()
     sent = spark.sparkContext.broadcast((known.column("term").combine_chunks(), known.column("idf").to_numpy()))
 
@@ -129,10 +131,12 @@ def sparse_rows(rows: DataFrame, vocabulary: DataFrame, max_features: int = MAX_
         for batch in batches:
             for at, words in _slices(batch.column(1)):
                 indices, values = _weighed(words, *sent.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(words)), indices, values], names=["doc_id", "indices", "values"])
+                part = batch.slice(at, len(words))
+                yield pa.RecordBatch.from_arrays([part.column(0), indices, values, *part.columns[2:]], names=["doc_id", "indices", "values", *others])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "words").mapInArrow(run, f"doc_id {kind}, indices array<int>, values array<double>")
+    lists = [T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
+    out = T.StructType([rows.schema["doc_id"], *lists, *[rows.schema[c] for c in others]])
+    return rows.select("doc_id", "words", *others).mapInArrow(run, out)
 
 
 def _weighed(words: pa.StringArray, known: pa.Array, idf: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:

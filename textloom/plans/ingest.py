@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text
 from ..operators import chunking, embedding, tfidf
-from ..session import cut, exists, remove
+from ..session import cut
 from ..sources import readers, writers
 
 MakeEncoder = Callable[[], embedding.Encoder]
@@ -36,25 +36,29 @@ def chunk_files(files: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def stage_chunks(chunks: DataFrame, stage: str, make_encoder: MakeEncoder | None = None, config: Config = Config(), with_sparse: bool = True, min_df: int = tfidf.MIN_DF) -> None:
-    """Write below ``stage`` the chunks, their dense vectors and, if wanted, the vocabulary and the sparse rows. Each is read again by what follows."""
+    """Write below ``stage`` the chunks, the vocabulary if sparse rows are wanted, and the points.
+
+    A chunk goes with its vectors through one pass, so that no join has to bring
+    them together.
+    """
     spark = chunks.sparkSession
     writers.save_stage(chunks, f"{stage}/chunks")
     chunks = writers.load_stage(spark, f"{stage}/chunks")
-    writers.save_stage(embedding.embed(chunks, *([make_encoder] if make_encoder else []), batch=config.embed_batch), f"{stage}/dense")
-    remove(spark, f"{stage}/sparse")  # of an earlier run
+    parts = tuple(c for c in (*writers.PAYLOAD, "source_file") if c in chunks.columns)
+    rows = embedding.embed(chunks, *([make_encoder] if make_encoder else []), batch=config.embed_batch, carry=parts)
+    sparse = F.lit(None).cast("struct<indices:array<int>,values:array<double>>")
     if with_sparse:
-        rows = tfidf.document_terms(chunks, "id")
-        tfidf.save_model(tfidf.fit(rows, chunks.count(), min_df), f"{stage}/vocabulary")
-        sparse = tfidf.sparse_rows(rows, tfidf.load_model(spark, f"{stage}/vocabulary"))
-        writers.save_stage(sparse.withColumnRenamed("doc_id", "id"), f"{stage}/sparse")
+        tfidf.save_model(tfidf.fit(tfidf.document_terms(chunks, "id"), chunks.count(), min_df), f"{stage}/vocabulary")
+        terms = tfidf.document_terms(rows, "id", carry=("vector", *parts))
+        rows = tfidf.sparse_rows(terms, tfidf.load_model(spark, f"{stage}/vocabulary")).withColumnRenamed("doc_id", "id")
+        sparse = F.struct("indices", "values")
+    writers.save_stage(rows.select("id", F.struct(*parts).alias("payload"), F.col("vector").alias("dense"), sparse.alias("sparse")), f"{stage}/points")
 
 
 def points_of_stage(spark: SparkSession, stage: str) -> DataFrame:
-    """(id, payload, dense, sparse) of a stage; a chunk without known terms has a sparse row without entries, a stage without sparse rows has nulls."""
-    load = lambda name: writers.load_stage(spark, f"{stage}/{name}")
-    if exists(spark, f"{stage}/sparse"):
-        return writers.points(load("chunks"), load("dense"), load("sparse"))
-    return writers.points(load("chunks"), load("dense")).withColumn("sparse", F.lit(None).cast("struct<indices:array<int>,values:array<double>>"))
+    """(id, payload, dense, sparse) of a stage, one of each id; a chunk without known terms has a sparse row without entries, a stage without sparse rows has nulls."""
+    points = writers.load_stage(spark, f"{stage}/points")
+    return writers.last_of(points, "id") if writers.has_repeats(points, "id") else points
 
 
 def ingest(
@@ -73,7 +77,9 @@ def ingest(
         return None
     points = points_of_stage(spark, stage)
     old = None if recreate else writers.read_collection(spark, collection)
-    return writers.write_collection(points if old is None else writers.upsert(old, points, "id"), collection)
+    if old is not None and writers.lacks_any(points, old, "id"):
+        points = writers.upsert(old, points, "id", unique=True)
+    return writers.write_collection(points, collection)
 
 
 def upload(spark: SparkSession, paths: list[str], make_encoder: MakeEncoder | None = None, config: Config = Config()) -> tuple[DataFrame, DataFrame]:

@@ -89,9 +89,3 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a path in whatever store it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in whatever store it lies."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

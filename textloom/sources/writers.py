@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from ..session import remove, ship
 
 
-def _last_of(rows: DataFrame, key: str, order: Column | None) -> DataFrame:
+#: What a point tells of its chunk, besides source_file where there is one.
+PAYLOAD = ("text", "section_path", "page_start", "page_end", "flags")
+
+
+def last_of(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
     """One row a key: that of the greatest order, ties by a hash of the row."""
     others = [F.col(f"`{c}`") for c in rows.columns if c != key]
     tie = F.xxhash64(F.to_json(F.struct(*others)))
@@ -22,15 +26,25 @@ def _last_of(rows: DataFrame, key: str, order: Column | None) -> DataFrame:
     return rows.groupBy(key).agg(last.alias("row")).select(key, "row.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> DataFrame:
-    """Rows of old whose key new lacks, and new. Of several new rows of a key the one of the greatest ``order`` stays, or any one, always the same. Rows may be nested."""
-    last = _last_of(new, key, order)
+def has_repeats(rows: DataFrame, key: str) -> bool:
+    """Whether a key has several rows, found from the keys alone."""
+    return not rows.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def lacks_any(new: DataFrame, old: DataFrame, key: str) -> bool:
+    """Whether old has a key that new lacks, found from the keys alone. A null key counts as one that is lacking."""
+    return not old.select(key).join(new.select(key), key, "left_anti").isEmpty()
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, order: Column | None = None, unique: bool = False) -> DataFrame:
+    """Rows of old whose key new lacks, and new. Of several new rows of a key the one of the greatest ``order`` stays, or any one, always the same; ``unique`` says that there are no such. Rows may be nested."""
+    last = new if unique else last_of(new, key, order)
     return old.join(last, key, "left_anti").unionByName(last)
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> DataFrame:
     """old and those rows of new whose key it lacks; of several new rows of a key one comes in, as in upsert."""
-    return old.unionByName(_last_of(new, key, order).join(old, key, "left_anti"))
+    return old.unionByName(last_of(new, key, order).join(old, key, "left_anti"))
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame | None:
@@ -116,7 +130,7 @@ def ensure_table(spark: SparkSession, name: str, schema: str, recreate: bool = F
 
 def points(chunks: DataFrame, vectors: DataFrame, sparse: DataFrame | None = None) -> DataFrame:
     """Chunks with their vectors, joined by chunk id: id, dense, sparse, payload."""
-    payload = F.struct(*["text", "section_path", "page_start", "page_end", "flags"], *[c for c in ("source_file",) if c in chunks.columns])
+    payload = F.struct(*PAYLOAD, *[c for c in ("source_file",) if c in chunks.columns])
     out = chunks.select("id", payload.alias("payload")).join(vectors.select("id", F.col("vector").alias("dense")), "id")
     if sparse is None:
         return out

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import re
 import threading
 import tracemalloc
@@ -256,6 +257,39 @@ def test_answers_that_stop_are_given_up():
     assert not list(streams.gather(("q",), iter([]), state, 500)) and not state.exists
 
 
+def test_buckets_gather_as_answers_do_one_by_one():
+    rng = random.Random(5)
+    events = []
+    for i in range(60):
+        n = rng.randint(1, 12)
+        last = rng.choice(["end", "end", "error", "token"])  # some never end
+        events += [(f"q{i}" if i else None, s, "token" if s < n else last, f"{i}.{s}") for s in range(n + 1) if rng.random() > 0.02]
+    events += rng.sample(events, 50)  # come twice, some of them late
+    rng.shuffle(events)
+    frame = lambda rows: pd.DataFrame(rows, columns=["query_id", "seq", "event", "data"])
+    bucket, states, got, plain = State(), {}, [], []
+    for trigger in (events[:200], events[200:201], events[201:]):
+        parts = [frame(trigger[:90]), frame(trigger[90:])]
+        for out in streams.gather_many((0,), iter(p for p in parts if len(p)), bucket):
+            got += [(r.query_id, sorted(zip(map(int, r.seq), r.event, r.data))) for r in out.itertuples()]
+        for q in dict.fromkeys(e[0] for e in trigger):
+            for out in streams.gather((q,), iter([frame([e for e in trigger if e[0] == q])]), states.setdefault(q, State())):
+                plain += [(q, sorted((e["seq"], e["event"], e["data"]) for e in r)) for r in out["events"]]
+    assert sorted(got, key=str) == sorted(plain, key=str) and len(got) > 20 and bucket.exists
+    done = State()
+    assert len(list(streams.gather_many((0,), iter([frame([("a", 0, "sources", "{}"), ("a", 1, "end", "{}")])]), done))) == 1 and not done.exists
+
+
+def test_stream_keeps_answers_by_buckets(spark, tmp_path, monkeypatch):
+    """Before, each answer was a group of its own, whose call took longer than its events."""
+    monkeypatch.setattr(streams, "BUCKETS", 2)
+    events = _events(spark)
+    events.repartition(3).write.parquet(str(tmp_path / "events"))
+    run = streams.run_available(streams.fold_stream(streams.read_events(spark, str(tmp_path / "events"), 1)), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 2
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {tuple(r) for r in sessions.fold_answers(events).collect()}
+
+
 def test_report_numbers_keep_reports_without_a_time(spark):
     rows = spark.sql("select * from values (1, timestamp'2024-01-02 10:00:00'), (2, null), (3, timestamp'2024-01-01 00:00:00'), (4, null) as t(k, at)")
     assert {r.k: r.report_no for r in sessions.report_numbers(rows, "at", "k").collect()} == {2: 1, 4: 2, 3: 3, 1: 4}

@@ -94,34 +94,37 @@ def answer_events(answers: DataFrame) -> DataFrame:
     return answers.select("query_id", F.inline(F.concat(F.array(first), tokens, F.array(last))))
 
 
-def folded(events: Column) -> list[Column]:
-    """The message that an answer's events (array of seq, event, data) make.
+def messages(answers: DataFrame) -> DataFrame:
+    """The message that the events (array of seq, event, data) of each answer (query_id, events) make.
 
     Tokens in order of seq, once each; sources with defaults where there are none
-    or they can't be read; timings of the end; an error replaces the text.
+    or they can't be read; timings of the end; an error replaces the text. The
+    steps are selects of their own, so that Spark sorts and filters once.
     """
-    ordered = F.array_sort(F.array_distinct(events))
-    of = lambda name: F.filter(ordered, lambda e: e["event"] == name)
-    value = lambda name, key: F.get_json_object(F.get(of(name), F.lit(0))["data"], f"$.{key}")
-    failed = F.size(of("error")) > 0
+    c = F.col
+    of = lambda name: F.filter("events", lambda e: e["event"] == name)
+    first = lambda name: F.get(of(name), F.lit(0))["data"]
+    number = lambda name, key, kind: F.get_json_object(name, f"$.{key}").try_cast(kind)
+    has = lambda name: F.exists("events", lambda e: F.coalesce(e["event"] == name, F.lit(False)))
+    ordered = answers.select("query_id", F.sort_array(F.array_distinct("events")).alias("events"))
     text_ = F.array_join(F.transform(of("token"), lambda e: F.get_json_object(e["data"], "$.token")), "")
-    number = lambda name, key, kind: value(name, key).try_cast(kind)
-    return [
-        F.when(failed, F.lit(text.STREAM_FAILED)).otherwise(text_).alias("content"),
-        F.coalesce(value("sources", "sources"), F.lit("[]")).alias("sources"),
-        F.coalesce(number("sources", "num_sources", "long"), F.lit(0)).alias("num_sources"),
-        number("sources", "confidence_score", "double").alias("confidence"),
-        number("sources", "retrieval_time_ms", "double").alias("retrieval_time_ms"),
-        number("end", "total_time_ms", "double").alias("total_time_ms"),
-        number("end", "thought_time_ms", "double").alias("thought_time_ms"),
-        (F.size(of("end")) > 0).alias("ended"),
-        failed.alias("error"),
-    ]
+    parts = ordered.select("query_id", text_.alias("text"), first("sources").alias("source"), first("end").alias("last"), has("end").alias("ended"), has("error").alias("error"))
+    return parts.select(
+        "query_id",
+        F.when(c("error"), F.lit(text.STREAM_FAILED)).otherwise(c("text")).alias("content"),
+        F.coalesce(F.get_json_object("source", "$.sources"), F.lit("[]")).alias("sources"),
+        F.coalesce(number("source", "num_sources", "long"), F.lit(0)).alias("num_sources"),
+        number("source", "confidence_score", "double").alias("confidence"),
+        number("source", "retrieval_time_ms", "double").alias("retrieval_time_ms"),
+        number("last", "total_time_ms", "double").alias("total_time_ms"),
+        number("last", "thought_time_ms", "double").alias("thought_time_ms"),
+        "ended", "error",
+    )
 
 
 def fold_answers(events: DataFrame) -> DataFrame:
-    """One row a query: see folded."""
-    return events.groupBy("query_id").agg(F.collect_list(F.struct("seq", "event", "data")).alias("events")).select("query_id", *folded(F.col("events")))
+    """One row a query: see messages."""
+    return messages(events.groupBy("query_id").agg(F.collect_list(F.struct("seq", "event", "data")).alias("events")))
 
 
 def timings(events: DataFrame) -> DataFrame:
